@@ -6,8 +6,9 @@ import os
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from keystrata.llm import bpe, leaks, same_record, shared_spans
+from keystrata.llm import bpe, history_graph, leaks, same_record, shared_spans
 from keystrata.llm.seen_keys import SeenKeys
 
 TOKENIZERS = os.environ.get("TOKENIZER_DIR", "/opt/tokenizers")
@@ -17,6 +18,29 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+BATCHED = {"stored_results": "result_id", "access_entries": "seq"}
+
+
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    parts = [history_graph.link(table(spark, d, t), i).select(F.lit(t).alias("table_name"), "first_id", "dup_id") for t, i in BATCHED.items()]
+    return parts[0].unionByName(parts[1])
+
+
+def p2_batches(spark: SparkSession, d: str) -> DataFrame:
+    """The same rows, the batches arriving in four deliveries of about equal length."""
+    parts = []
+    for t, i in BATCHED.items():
+        rows, index = table(spark, d, t), history_graph.HistoryIndex(compact_at=2)
+        last = rows.agg(F.max("batch_no")).first()[0] or 0
+        for k in range(4):
+            delivery = rows.where((F.col("batch_no") > last * k // 4 - (k == 0)) & (F.col("batch_no") <= last * (k + 1) // 4))
+            parts.append(index.add(delivery, i).select(F.lit(t).alias("table_name"), "first_id", "dup_id"))
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
     return SeenKeys().seen(table(spark, d, "wanted_keys"), table(spark, d, "key_index"))
 
@@ -58,6 +82,6 @@ def p8_sentences(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (p3_found, p3_error_rate, p4_found, p4_records, p6_ids, p7_found, p7_matches, p7_clean, p8_found, p8_sentences)
+    f.__name__: f for f in (p2_found, p2_batches, p3_found, p3_error_rate, p4_found, p4_records, p6_ids, p7_found, p7_matches, p7_clean, p8_found, p8_sentences)
 }
 ORACLES: dict[str, str] = {}
