@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 from keystrata.operators.schema_drift import SchemaHistory
 from keystrata.sources.messy_csv import CsvLoad
+from keystrata.store_queries import ORACLES as STORE_ORACLES
+from keystrata.store_queries import QUERIES as STORE_QUERIES
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -51,6 +53,7 @@ def p5_valid(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (p1_found, p1_unified, p1_migrations, p1_versions, p5_found, p5_repairs, p5_valid)
+    **STORE_QUERIES,
+    **{f.__name__: f for f in (p1_found, p1_unified, p1_migrations, p1_versions, p5_found, p5_repairs, p5_valid)},
 }
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {**STORE_ORACLES}
