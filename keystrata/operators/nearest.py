@@ -82,13 +82,14 @@ def exact_top1(rows: DataFrame, queries: DataFrame, block: int = QUERY_BLOCK) ->
 
 
 class CellIndex:
-    """Inverted index: each vector in the cell of its nearest centre, a query searches the `probes` nearest cells.
+    """Inverted index: each vector in the cell of its nearest centre, a query searches the nearest cells.
 
     Centres are fitted by k-means on at most `sample` rows (lowest hashes of the id, a documented
-    bound); every row is indexed.
+    bound); every row is indexed. The number of cells searched is the least that finds the nearest
+    row of at least `recall` of the sample's rows within the sample.
     """
 
-    def __init__(self, rows: DataFrame, cells: int = 16, probes: int = 6, sample: int = 4096, rounds: int = 8):
+    def __init__(self, rows: DataFrame, cells: int = 16, recall: float = 0.96, sample: int = 4096, rounds: int = 8):
         self.rows = rows.select(F.col("id").cast("long").alias("id"), "vector").where(F.col("vector").isNotNull())
         fit = _unit(_matrix([r[0] for r in self.rows.orderBy(F.xxhash64("id")).limit(sample).select("vector").collect()]))
         centres = fit[: min(cells, len(fit))].copy()
@@ -98,7 +99,19 @@ class CellIndex:
                 if (near == c).any():
                     centres[c] = fit[near == c].mean(axis=0)
             centres = _unit(centres)
-        self.centres, self.probes = centres, min(probes, max(1, len(centres)))
+        self.centres, self.probes = centres, self._tuned(fit, centres, recall)
+
+    @staticmethod
+    def _tuned(fit: np.ndarray, centres: np.ndarray, recall: float) -> int:
+        if len(fit) < 2:
+            return max(1, len(centres))
+        home = (fit @ centres.T).argmax(axis=1)
+        asked = fit[:1024]
+        s = asked @ fit.T
+        s[np.arange(len(asked)), np.arange(len(asked))] = -np.inf
+        cell = home[s.argmax(axis=1)]
+        place = (np.argsort(-(asked @ centres.T), axis=1) == cell[:, None]).argmax(axis=1)
+        return int(np.searchsorted(np.cumsum(np.bincount(place, minlength=len(centres))), recall * len(asked)) + 1)
 
     def assigned(self) -> DataFrame:
         """(cell, id, vector) of every row."""
