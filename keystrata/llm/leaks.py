@@ -177,12 +177,12 @@ def _search(documents: DataFrame, items: list[tuple[int, str | None]], least: in
         if symbols:
             yield flush()
 
-    return documents.select("doc_id", "text").mapInArrow(run, "doc_id long, item_id long, words long, word_at long, passage_at long")
+    return documents.select("doc_id", "text").where(F.col("doc_id").isNotNull() & F.col("text").isNotNull()).mapInArrow(run, "doc_id long, item_id long, words long, word_at long, passage_at long")
 
 
 def leaks(documents: DataFrame, eval_items: DataFrame, least: int = LEAST, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """(doc_id, item_id, words, word_at, passage_at): documents with a passage's longest common run of at least `least` words."""
-    items = eval_items.select("item_id", "passage").where(F.col("passage").isNotNull())
+    items = eval_items.select("item_id", "passage").where(F.col("passage").isNotNull() & F.col("item_id").isNotNull()).distinct()
     size = items.agg(F.sum(F.octet_length("passage") + 16)).first()[0] or 0
     blocks = max(1, -(-size // block_bytes))
     out = None

@@ -64,7 +64,7 @@ _FIELDS = T.ArrayType(T.StructType([T.StructField("name", T.StringType()), T.Str
 
 def records(rows: DataFrame, rec_id: str = "rec_id", body: str = "body") -> DataFrame:
     """(rec_id, root, whole): root digest and normalised structure of every non-blank record."""
-    r = rows.where(~is_blank(F.col(body))).select(F.col(rec_id).alias("rec_id"), fields(F.col(body)).alias("fields"))
+    r = rows.where(~is_blank(F.col(body)) & F.col(rec_id).isNotNull()).select(F.col(rec_id).alias("rec_id"), fields(F.col(body)).alias("fields"))
     whole = F.to_json(F.array_sort("fields"))
     return r.select("rec_id", digest(F.col("fields"), _FIELDS).alias("root"), whole.alias("whole"))
 

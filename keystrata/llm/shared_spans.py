@@ -146,7 +146,7 @@ def _in_several(rows: DataFrame, key: str) -> DataFrame:
 def shared_documents(documents: DataFrame, least: int = LEAST) -> DataFrame:
     """(doc_id): documents of which `least` consecutive characters also stand in another document."""
     gram = least // 2
-    texts = documents.select("doc_id", "text").where(F.char_length("text") >= least).withColumn("whole", F.sha2("text", 256))
+    texts = documents.select("doc_id", "text").where((F.char_length("text") >= least) & F.col("doc_id").isNotNull()).withColumn("whole", F.sha2("text", 256))
     classes = durable(texts.groupBy("whole").agg(F.min("doc_id").alias("doc_id"), (F.min("doc_id") != F.max("doc_id")).alias("copied")))
     own = texts.join(classes.select("whole", "doc_id"), ["whole", "doc_id"], "left_semi").dropDuplicates(["whole"]).select("doc_id", "text")
     rows = durable(_span_rows(own, least, gram))
@@ -173,7 +173,7 @@ def sentence_cover(documents: DataFrame, run: int = 3, least: int = LEAST) -> Da
     `least` characters that other documents hold too, repeated_chars those under a run that is not
     the first of its kind (the first stands in the lowest doc_id), kept the text without them.
     """
-    docs = documents.select("doc_id", "text").where(F.col("text").isNotNull()).dropDuplicates(["doc_id"])
+    docs = documents.select("doc_id", "text").where(F.col("text").isNotNull() & F.col("doc_id").isNotNull()).dropDuplicates(["doc_id"])
     sentences = docs.select("doc_id", F.filter(F.transform(F.split("text", _SENTENCE), trim_unicode), lambda s: s != "").alias("s"))
     at = F.sequence(F.lit(1), F.size("s") - run + 1)
     pieces = F.when(F.size("s") >= run, F.filter(F.transform(at, lambda i: F.struct(i.alias("at"), F.array_join(F.slice("s", i, F.lit(run)), "\n").alias("t"))), lambda x: F.char_length(x["t"]) >= least))
