@@ -10,12 +10,14 @@ consecutive `gram`-character pieces the one of smallest hash begins a span, so a
 stretch of gram + window - 1 = `least` characters holds a span that begins at the same
 character in both texts. Spans are hashed, joined over the corpus, and settled by the digests
 of whole windows of `least` characters:
- 1. exact copies of a text are one class, settled by its digest;
+ 1. exact copies of a text are settled by its digest, and only the first of them is looked at further;
  2. the window in the middle of which a span lies settles most of what is really shared;
  3. only for spans that recur in texts not yet settled, all windows over the span are compared.
 
 Shuffled are one hash and one digest for about 50 characters of text. Hashes are grouped with
 partial aggregation and never paired, so a span in a third of all texts costs its rows once.
+What recurs goes back to the rows by a broadcast where it measures below a bound, else by a
+shuffle join with each value once on that side, of which AQE may split hot ones.
 
 Defined cases: null, empty and short texts share nothing; repeated rows of one doc_id are the
 same document; extra columns are ignored.
@@ -32,6 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from keystrata.functions.text import trim_unicode
+from keystrata.plans.joins import sized_join
 from keystrata.plans.session import durable
 
 LEAST = 200
@@ -146,20 +149,20 @@ def _in_several(rows: DataFrame, key: str) -> DataFrame:
 def shared_documents(documents: DataFrame, least: int = LEAST) -> DataFrame:
     """(doc_id): documents of which `least` consecutive characters also stand in another document."""
     gram = least // 2
-    texts = documents.select("doc_id", "text").where((F.char_length("text") >= least) & F.col("doc_id").isNotNull()).withColumn("whole", F.sha2("text", 256))
-    classes = durable(texts.groupBy("whole").agg(F.min("doc_id").alias("doc_id"), (F.min("doc_id") != F.max("doc_id")).alias("copied")))
-    own = texts.join(classes.select("whole", "doc_id"), ["whole", "doc_id"], "left_semi").dropDuplicates(["whole"]).select("doc_id", "text")
+    texts = documents.select("doc_id", "text").where((F.char_length("text") >= least) & F.col("doc_id").isNotNull()).withColumn("whole", F.unhex(F.sha2("text", 256)))
+    classes = durable(texts.groupBy("whole").agg(F.min("doc_id").alias("first_id"), (F.min("doc_id") != F.max("doc_id")).alias("copied")))
+    copied = classes.where("copied").select("whole", "first_id")
+    members = durable(sized_join(texts.select("doc_id", "whole"), copied, "whole").select("doc_id", "first_id").distinct())
+    own = sized_join(texts.select("doc_id", "text"), members.where("doc_id != first_id").select("doc_id"), "doc_id", "left_anti")
     rows = durable(_span_rows(own, least, gram))
-    settled = durable(rows.join(_in_several(rows, "middle"), "middle", "left_semi").select("doc_id").distinct())
-    marked = rows.select("doc_id", "span").join(settled.withColumn("done", F.lit(1)), "doc_id", "left")
-    recurring = marked.groupBy("span").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b"), F.count_if(F.col("done").isNull()).alias("open")).where((F.col("a") != F.col("b")) & (F.col("open") > 0)).select("span")
-    wanted = rows.select("doc_id", "span").join(recurring, "span").groupBy("doc_id").agg(F.collect_set("span").alias("wanted"))
-    windows = _window_rows(own.join(wanted, "doc_id").select("doc_id", "text", "wanted"), least, gram)
-    windows = durable(windows)
+    middles = durable(_in_several(rows, "middle"))
+    settled = durable(sized_join(rows, middles, "middle", "left_semi").select("doc_id").distinct())
+    marked = sized_join(rows.select("doc_id", "span"), settled.withColumn("done", F.lit(1)), "doc_id", "left")
+    recurring = durable(marked.groupBy("span").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b"), F.count_if(F.col("done").isNull()).alias("open")).where((F.col("a") != F.col("b")) & (F.col("open") > 0)).select("span"))
+    wanted = durable(sized_join(rows.select("doc_id", "span"), recurring, "span").groupBy("doc_id").agg(F.collect_set("span").alias("wanted")))
+    windows = durable(_window_rows(sized_join(own, wanted, "doc_id").select("doc_id", "text", "wanted"), least, gram))
     late = windows.join(_in_several(windows, "window"), "window", "left_semi").select("doc_id")
-    found = settled.union(late).distinct().withColumn("hit", F.lit(True))
-    hit = classes.join(found, "doc_id", "left").where(F.col("copied") | F.col("hit").isNotNull()).select("whole")
-    return texts.select("doc_id", "whole").join(hit, "whole", "left_semi").select("doc_id").distinct()
+    return settled.union(late).union(members.select("doc_id")).distinct()
 
 
 #: A sentence ends after closing punctuation before white space, or at a line feed.
