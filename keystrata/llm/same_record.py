@@ -54,8 +54,8 @@ def digest(c: Column, kind: T.DataType, leaf: Callable[[Column], Column] = lambd
     if isinstance(kind, T.ArrayType):
         return F.coalesce(node(F.transform(c, lambda x: digest(x, kind.elementType, leaf, ordered)), "a", ordered), F.md5(F.lit("null")))
     if isinstance(kind, T.MapType):
-        entries = T.ArrayType(T.StructType([T.StructField("key", kind.keyType), T.StructField("value", kind.valueType)]))
-        return digest(F.map_entries(c), entries, leaf, False)
+        entry = T.StructType([T.StructField("key", kind.keyType), T.StructField("value", kind.valueType)])
+        return F.coalesce(node(F.transform(F.map_entries(c), lambda x: digest(x, entry, leaf, ordered)), "a", False), F.md5(F.lit("null")))
     return F.coalesce(F.md5(F.concat(F.lit("v"), leaf(c.cast("string")))), F.md5(F.lit("null")))
 
 

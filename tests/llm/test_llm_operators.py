@@ -209,7 +209,7 @@ def test_leaks_match_brute(spark, small):
 
 def test_leak_edges(spark, monkeypatch):
     p = "one two three four five six seven eight nine ten eleven"
-    items = [(1, p), (2, "zero " + p[:38]), (3, "a b c"), (4, None), (5, ""), (6, "one " * 12)]
+    items = [(1, p), (2, "zero " + p[:39]), (3, "a b c"), (4, None), (5, ""), (6, "one " * 12)]
     docs = [
         (1, p.upper()), (2, "one two three four <b>five</b> six&nbsp;seven [i]eight[/i] x"), (3, "one two three four five six seven"), (4, None), (5, ""),
         (6, "one " * 9), (7, ("z " * 50_000) + p), (8, "one two three four five six seven eight, zero one two three four five six seven eight"), (9, p + "\n" + p),
