@@ -3,7 +3,7 @@
 Input: one row per record (file_id, rec_no, raw), rec_no 0 being the header. Defined cases:
 null and blank `raw` are no record; a file without a header has no fields, so its records fail
 by `columns`; an empty column's type is `integer` (every one of no cells fits it); of several
-key columns of one kind the first non-blank counts; extra columns of the input are ignored.
+key columns of one kind the first non-blank counts; a failed record given twice is reported once; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -98,7 +98,7 @@ class CsvLoad:
 
     def failed(self) -> DataFrame:
         """(file_id, rec_no, reason, edits, raw) of the records that can't be loaded."""
-        return self.checked().where(F.col("reason").isNotNull()).select("file_id", "rec_no", "reason", "edits", "raw")
+        return self.checked().where(F.col("reason").isNotNull()).select("file_id", "rec_no", "reason", "edits", "raw").distinct()
 
     def valid(self) -> DataFrame:
         """(file_id, rec_no, names, types, cells, key) of the records that load."""
