@@ -77,11 +77,15 @@ def p8_found(spark: SparkSession, d: str) -> DataFrame:
     return shared_spans.shared_documents(table(spark, d, "documents"))
 
 
+def p8_amounts(spark: SparkSession, d: str) -> DataFrame:
+    return shared_spans.shared_amounts(table(spark, d, "documents"))
+
+
 def p8_sentences(spark: SparkSession, d: str) -> DataFrame:
     return shared_spans.sentence_cover(table(spark, d, "documents"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (p2_found, p2_batches, p3_found, p3_error_rate, p4_found, p4_records, p6_ids, p7_found, p7_matches, p7_clean, p8_found, p8_sentences)
+    f.__name__: f for f in (p2_found, p2_batches, p3_found, p3_error_rate, p4_found, p4_records, p6_ids, p7_found, p7_matches, p7_clean, p8_found, p8_amounts, p8_sentences)
 }
 ORACLES: dict[str, str] = {}

@@ -14,6 +14,11 @@ of whole windows of `least` characters:
  2. the window in the middle of which a span lies settles most of what is really shared;
  3. only for spans that recur in texts not yet settled, all windows over the span are compared.
 
+`shared_amounts` returns how many characters of each document lie in shared windows. A shared
+window holds a recurring span, and all windows over one span overlap, so the shared middles are
+covered at once; around a recurring span only the side that they leave open is compared window
+by window, in all texts that hold the span. Exact copies count in full.
+
 Shuffled are one hash and one digest for about 50 characters of text. Hashes are grouped with
 partial aggregation and never paired, so a span in a third of all texts costs its rows once.
 What recurs goes back to the rows by a broadcast where it measures below a bound, else by a
@@ -146,14 +151,19 @@ def _in_several(rows: DataFrame, key: str) -> DataFrame:
     return rows.groupBy(key).agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).where(F.col("a") != F.col("b")).select(key)
 
 
-def shared_documents(documents: DataFrame, least: int = LEAST) -> DataFrame:
-    """(doc_id): documents of which `least` consecutive characters also stand in another document."""
-    gram = least // 2
+def _copies(documents: DataFrame, least: int) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, first_id) of texts that several documents hold whole, and (doc_id, text) of each different text's first document."""
     texts = documents.select("doc_id", "text").where((F.char_length("text") >= least) & F.col("doc_id").isNotNull()).withColumn("whole", F.unhex(F.sha2("text", 256)))
     classes = durable(texts.groupBy("whole").agg(F.min("doc_id").alias("first_id"), (F.min("doc_id") != F.max("doc_id")).alias("copied")))
     copied = classes.where("copied").select("whole", "first_id")
     members = durable(sized_join(texts.select("doc_id", "whole"), copied, "whole").select("doc_id", "first_id").distinct())
-    own = sized_join(texts.select("doc_id", "text"), members.where("doc_id != first_id").select("doc_id"), "doc_id", "left_anti")
+    return members, sized_join(texts.select("doc_id", "text"), members.where("doc_id != first_id").select("doc_id"), "doc_id", "left_anti")
+
+
+def shared_documents(documents: DataFrame, least: int = LEAST) -> DataFrame:
+    """(doc_id): documents of which `least` consecutive characters also stand in another document."""
+    gram = least // 2
+    members, own = _copies(documents, least)
     rows = durable(_span_rows(own, least, gram))
     middles = durable(_in_several(rows, "middle"))
     settled = durable(sized_join(rows, middles, "middle", "left_semi").select("doc_id").distinct())
@@ -165,6 +175,97 @@ def shared_documents(documents: DataFrame, least: int = LEAST) -> DataFrame:
     return settled.union(late).union(members.select("doc_id")).distinct()
 
 
+def _open_rows(docs: DataFrame, least: int, gram: int) -> DataFrame:
+    """(doc_id, covered, spans, sides): the stretches of a text under shared middles, and its recurring spans with the sides (1 before, 2 after, 3 both) on which a window over them leaves these.
+
+    docs: doc_id, text, whole (the text is known to be shared in full), its recurring `spans` and shared `middles`.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for doc, text, whole, wanted, middles in zip(*(batch.column(i).to_pylist() for i in range(5))):
+                if whole:
+                    continue
+                n, wanted, middles = len(text), np.array(wanted, np.int64).view(np.uint64), set(middles)
+                found, steps = [], np.zeros(n + 1, np.int64)
+                for a, codes in _parts(text, least):
+                    at, h = spans(codes, gram, least - gram + 1)
+                    kept = np.isin(h, wanted)
+                    found += zip((at[kept] + a).tolist(), h[kept].view(np.int64).tolist())
+                for p, _ in found:
+                    start = min(max(0, p - (least - gram) // 2), n - least)
+                    if _digest(text, start, least) in middles:
+                        steps[start] += 1
+                        steps[start + least] -= 1
+                inside = np.concatenate([[0], np.cumsum(steps[:-1]) > 0, [0]]).astype(np.int8)
+                bare = np.concatenate([[0], np.cumsum(inside[1:-1] == 0)])
+                leaves = np.concatenate([[0], np.cumsum(bare[least:] > bare[:-least])])
+                sides: dict[int, int] = {}
+                for p, h in found:
+                    first, middle, last = max(0, p - least + gram), p - (least - gram) // 2, min(p, n - least)
+                    before = leaves[max(first, min(middle, last) + 1)] > leaves[first]
+                    after = leaves[last + 1] > leaves[min(last + 1, max(middle, first))]
+                    if before or after:
+                        sides[h] = sides.get(h, 0) | before | after << 1
+                ends = np.diff(inside)
+                covered = [{"lo": lo, "hi": hi} for lo, hi in zip(np.flatnonzero(ends == 1).tolist(), np.flatnonzero(ends == -1).tolist())]
+                columns = [pa.array([doc], pa.int64()), pa.array([covered], stretches), pa.array([list(sides)], pa.list_(pa.int64())), pa.array([[int(x) for x in sides.values()]], pa.list_(pa.int32()))]
+                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "covered", "spans", "sides"])
+
+    stretches = pa.list_(pa.struct([("lo", pa.int32()), ("hi", pa.int32())]))
+    return docs.mapInArrow(run, "doc_id long, covered array<struct<lo: int, hi: int>>, spans array<long>, sides array<int>")
+
+
+def _side_rows(docs: DataFrame, least: int, gram: int) -> DataFrame:
+    """(doc_id, window, at): digests and places of the windows on the listed sides of the listed spans (columns `spans`, `sides`) of each text."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for doc, text, listed, sides in zip(*(batch.column(i).to_pylist() for i in range(4))):
+                n, side, places = len(text), dict(zip(listed, sides)), set()
+                for a, codes in _parts(text, least):
+                    for p, h in zip(*(x.tolist() for x in (lambda at, h: (at, h.view(np.int64)))(*spans(codes, gram, least - gram + 1)))):
+                        if s := side.get(h):
+                            middle = a + p - (least - gram) // 2
+                            low = a + p - least + gram if s & 1 else middle
+                            high = a + p if s & 2 else middle
+                            places.update(range(max(0, low), min(high, n - least) + 1))
+                windows: dict[bytes, list[int]] = {}
+                for p in sorted(places):
+                    windows.setdefault(_digest(text, p, least), []).append(p)
+                if windows:
+                    yield pa.RecordBatch.from_arrays([pa.array([doc] * len(windows), pa.int64()), pa.array(list(windows), pa.binary()), pa.array(list(windows.values()), pa.list_(pa.int32()))], names=["doc_id", "window", "at"])
+
+    return docs.mapInArrow(run, "doc_id long, window binary, at array<int>")
+
+
+def shared_amounts(documents: DataFrame, least: int = LEAST) -> DataFrame:
+    """(doc_id, n_chars, shared_chars): how many characters of each document lie in a stretch of `least` or more that also stands in another document.
+
+    Null texts have null characters, none of them shared.
+    """
+    gram = least // 2
+    members, own = _copies(documents, least)
+    rows = durable(_span_rows(own, least, gram))
+    spans_of = sized_join(rows.select("doc_id", "span"), durable(_in_several(rows, "span")), "span").groupBy("doc_id").agg(F.collect_set("span").alias("spans"))
+    middles_of = sized_join(rows.select("doc_id", "middle"), durable(_in_several(rows, "middle")), "middle").groupBy("doc_id").agg(F.collect_set("middle").alias("middles"))
+    whole = members.select("doc_id", F.lit(True).alias("whole"))
+    known = durable(spans_of.join(middles_of, "doc_id", "left").join(whole, "doc_id", "left"))
+    marked = sized_join(own, known, "doc_id").select("doc_id", "text", F.coalesce("whole", F.lit(False)), "spans", F.coalesce("middles", F.array().cast("array<binary>")))
+    held = durable(_open_rows(marked, least, gram))
+    sides = durable(held.select(F.explode(F.arrays_zip("spans", "sides")).alias("s")).groupBy(F.col("s.spans").alias("span")).agg(F.bit_or("s.sides").alias("side")))
+    wanted = durable(sized_join(rows.select("doc_id", "span").distinct(), sides, "span").groupBy("doc_id").agg(F.collect_list(F.struct("span", "side")).alias("w")))
+    windows = durable(_side_rows(sized_join(own, wanted, "doc_id").select("doc_id", "text", "w.span", "w.side"), least, gram))
+    late = sized_join(windows, durable(_in_several(windows, "window")), "window", "left_semi").select("doc_id", F.transform("at", lambda p: F.struct(p.alias("lo"), (p + least).cast("int").alias("hi"))).alias("covered"))
+    stretches = held.select("doc_id", "covered").unionByName(late).groupBy("doc_id").agg(F.array_sort(F.flatten(F.collect_list("covered"))).alias("covered"))
+    nothing = F.struct(F.lit(0).alias("end"), F.lit(0).alias("n"))
+    wider = lambda t, x: F.struct(F.greatest(t["end"], x["hi"]).alias("end"), (t["n"] + F.greatest(F.lit(0), x["hi"] - F.greatest(t["end"], x["lo"]))).alias("n"))
+    amounts = stretches.select("doc_id", F.aggregate("covered", nothing, wider, lambda t: t["n"]).alias("part"))
+    sizes = documents.where(F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max(F.char_length("text")).alias("n_chars"))
+    shared = F.when(F.col("whole"), F.col("n_chars")).otherwise(F.coalesce("part", F.lit(0)))
+    return sizes.join(amounts, "doc_id", "left").join(whole, "doc_id", "left").select("doc_id", "n_chars", shared.alias("shared_chars"))
+
+
 #: A sentence ends after closing punctuation before white space, or at a line feed.
 _SENTENCE = r"(?U)(?<=[.!?…。！？])\s++|\n++"
 
@@ -173,13 +274,15 @@ def sentence_cover(documents: DataFrame, run: int = 3, least: int = LEAST) -> Da
     """(doc_id, n_chars, shared_chars, repeated_chars, kept): how much of each text lies under shared runs of sentences.
 
     shared_chars counts the characters of sentences in runs of `run` sentences and at least
-    `least` characters that other documents hold too, repeated_chars those under a run that is not
+    `least` characters that other documents hold too (a text of fewer sentences is one run;
+    `shared_amounts` counts by characters), repeated_chars those under a run that is not
     the first of its kind (the first stands in the lowest doc_id), kept the text without them.
     """
     docs = documents.select("doc_id", "text").where(F.col("text").isNotNull() & F.col("doc_id").isNotNull()).dropDuplicates(["doc_id"])
     sentences = docs.select("doc_id", F.filter(F.transform(F.split("text", _SENTENCE), trim_unicode), lambda s: s != "").alias("s"))
-    at = F.sequence(F.lit(1), F.size("s") - run + 1)
-    pieces = F.when(F.size("s") >= run, F.filter(F.transform(at, lambda i: F.struct(i.alias("at"), F.array_join(F.slice("s", i, F.lit(run)), "\n").alias("t"))), lambda x: F.char_length(x["t"]) >= least))
+    length = F.least(F.size("s"), F.lit(run))
+    at = F.sequence(F.lit(1), F.size("s") - length + 1)
+    pieces = F.when(F.size("s") > 0, F.filter(F.transform(at, lambda i: F.struct(i.alias("at"), F.array_join(F.slice("s", i, length), "\n").alias("t"))), lambda x: F.char_length(x["t"]) >= least))
     hashed = durable(sentences.select("doc_id", F.explode(F.transform(pieces, lambda x: F.struct(x["at"].alias("at"), F.unhex(F.md5(x["t"])).alias("h")))).alias("r")).select("doc_id", "r.at", "r.h"))
     several = hashed.groupBy("h").agg(F.min("doc_id").alias("first_id"), F.max("doc_id").alias("b")).where(F.col("first_id") != F.col("b")).select("h", "first_id")
     hits = hashed.join(several, "h").select("doc_id", "at", (F.col("first_id") != F.col("doc_id")).alias("again"))

@@ -96,3 +96,19 @@ def shared(docs, n=200):
             if other != d:
                 out |= {other, d}
     return out
+
+
+def shared_chars(docs, n=200):
+    """Characters of each document in windows of `n` that also stand in another one."""
+    held, out = collections.defaultdict(set), {}
+    for d, t in docs:
+        for a in range(len(t or "") - n + 1):
+            held[t[a : a + n]].add(d)
+    for d, t in docs:
+        end = total = 0
+        for a in range(len(t or "") - n + 1):
+            if len(held[t[a : a + n]]) > 1:
+                total += a + n - max(end, a)
+                end = a + n
+        out[d] = total
+    return out

@@ -282,3 +282,36 @@ def test_sentence_cover(spark):
     assert set(got) == {1, 2, 3, 5, 6}
     assert got[1].shared_chars == got[2].shared_chars > 200 and got[1].repeated_chars == 0 == got[3].shared_chars
     assert got[2].repeated_chars == got[2].n_chars and got[2].kept == "" and "Own end." in got[1].kept and got[5].n_chars == 0
+
+
+def test_short_texts_are_one_run(spark):
+    one, two = "word " * 50 + "end.", "word " * 30 + "stop. " + "more " * 30 + "end."
+    docs = [(1, one), (2, one), (3, two), (4, two), (5, "長い文" * 80 + "。" + "次の文" * 30 + "。"), (6, "長い文" * 80 + "。" + "次の文" * 30 + "。"), (7, "short."), (8, "short.")]
+    got = {r.doc_id: r for r in shared_spans.sentence_cover(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert all(got[d].shared_chars == got[d].n_chars > 200 for d in range(1, 7)) and got[7].shared_chars == 0 == got[8].shared_chars
+    assert [got[d].repeated_chars > 0 for d in range(1, 7)] == [False, True] * 3
+
+
+def test_amounts_match_brute(spark, small):
+    docs = column(spark, small, "documents", "doc_id", "text")
+    got = {r.doc_id: (r.n_chars, r.shared_chars) for r in QUERIES["p8_amounts"](spark, small).collect()}
+    want = brute.shared_chars(docs)
+    assert got == {d: (None if t is None else len(t), want[d]) for d, t in docs} and sum(map(bool, want.values())) > 10
+
+
+def test_amount_edges(spark, monkeypatch):
+    """Stretches of many lengths at all places, inside one another, repeated within a text, copied whole."""
+    rng = random.Random(3)
+    base = [noise(100 + i, 700) for i in range(4)] + ["ab" * 350, "q" * 450]
+    docs = [(1, None), (2, ""), (3, noise(7, 200)), (4, noise(7, 200)), (5, noise(7, 200) + "#"), (6, "a" * 900), (7, "x" + "a" * 230), (8, noise(9, 300) * 3)]
+    for i in range(120):
+        b = rng.choice(base)
+        lo = rng.choice([0, rng.randrange(400)])
+        docs.append((10 + i, noise(500 + i, rng.choice([0, 3, 80, 300])) + b[lo : lo + rng.randint(150, 500)] + noise(900 + i, rng.choice([0, 5, 120]))))
+    df = spark.createDataFrame([(d, t, 1, "h") for d, t in docs], "doc_id long, text string, at int, whole string")
+    want = {d: (None if t is None else len(t), n) for (d, t), n in zip(docs, brute.shared_chars(docs).values())}
+    amounts = lambda df: {r.doc_id: (r.n_chars, r.shared_chars) for r in shared_spans.shared_amounts(df).collect()}
+    assert amounts(df) == want and amounts(df.union(df)) == want
+    assert shared_spans.shared_amounts(df.limit(0)).count() == 0
+    monkeypatch.setattr(shared_spans, "PART", 300)
+    assert amounts(df) == want
