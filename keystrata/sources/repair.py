@@ -4,14 +4,17 @@ A record is read as a string over four classes: quote, separator, line break and
 (runs of which count as one symbol). Four states describe a cell: at its start, in a bare cell,
 inside quotes, after a quote that may close the cell or begin a doubled quote. Copying a symbol
 costs nothing, inserting or deleting a quote or a separator costs one. `parse` searches the
-table (symbol, state, cell number) in order of cost, so a well-formed record takes one pass
-along the diagonal of cost zero and a broken one only the cells of the table it needs.
+table (symbol, state, cell number) in order of cost so far plus a lower bound of the cost to the
+end. The bound is exact but for the number of cells, of which it tells only one too many, several
+too many and too few apart; missing cells count one each. So the search keeps near the cheapest
+parse at any number of symbols and cells. Records of plain cells only are settled by counting.
 """
 
 from __future__ import annotations
 
 import re
-from collections import deque
+from array import array
+from collections import defaultdict, deque
 from collections.abc import Iterator
 
 import pandas as pd
@@ -20,8 +23,9 @@ from pyspark.sql import functions as F
 
 _START, _BARE, _QUOTED, _AFTER = range(4)
 _SYMBOL = re.compile(r'"|,|\r|\n|[^",\r\n]+')
-#: Table size up to which the edits are looked for; a larger broken record gets its reason without them.
-TABLE_LIMIT = 2_000_000
+#: Cells too many, as the bound sees them: fewer than none, none, one, more. What one more or one less can lead to.
+_LESS, _MORE = ((0,), (0,), (1,), (2, 3)), ((0, 1), (2,), (3,), (3,))
+_FAR = 60_000
 PARSED = "cells array<string>, n int, reason string, edits string"
 
 
@@ -60,46 +64,121 @@ def zero_cost(symbols: list[tuple[str, str]]) -> list[str] | None:
     return cells
 
 
+def _moves() -> tuple[dict[str, list[tuple[int, int, int]]], list[tuple[int, int]]]:
+    """Steps between places (4 * state + cells too many): per symbol kind (from, to, price), and (from, to) of insertions."""
+    over, still = {k: [] for k in '",xn'}, []
+    for state in range(4):
+        for e in range(4):
+            for kind, steps in over.items():
+                after = _copy(state, kind)
+                if after is not None:
+                    swallowed = kind == "," and state == _QUOTED
+                    steps += [(4 * state + e, 4 * (_START if after == -1 else after) + to, 0) for to in (_LESS[e] if swallowed else (e,))]
+                if kind in '",':
+                    steps += [(4 * state + e, 4 * state + to, 1) for to in (_LESS[e] if kind == "," else (e,))]
+            if _copy(state, '"') is not None:
+                still.append((4 * state + e, 4 * _copy(state, '"') + e))
+            if state != _QUOTED:
+                still += [(4 * state + e, 4 * _START + to) for to in _MORE[e]]
+    return over, still
+
+
+_OVER, _STILL = _moves()
+
+
+def _bounds(kinds: list[str]) -> array:
+    """Least cost to the end from each symbol and place, 16 numbers a symbol."""
+    now = [0 if e == 1 and state != _QUOTED else _FAR for state in range(4) for e in range(4)]
+    out = array("H", bytes(32 * (len(kinds) + 1)))
+    for i in range(len(kinds), -1, -1):
+        if i < len(kinds):
+            later, now = now, [_FAR] * 16
+            for a, b, price in _OVER[kinds[i]]:
+                if later[b] + price < now[a]:
+                    now[a] = later[b] + price
+        better = True
+        while better:
+            better = False
+            for a, b in _STILL:
+                if now[b] + 1 < now[a]:
+                    now[a], better = now[b] + 1, True
+        out[16 * i : 16 * i + 16] = array("H", now)
+    return out
+
+
+def _plain_edits(at: list[int], symbols: list[tuple[str, str]], n: int) -> str:
+    """Cheapest edits of a record of plain cells: missing separators at its start, one too many deleted, several within quotes around the first cells."""
+    separators = [at[i] for i, (kind, _) in enumerate(symbols) if kind == ","]
+    many = len(separators) + 1 - n
+    if many <= 0:
+        return "; ".join(["insert , at 0"] * -many)
+    if many == 1:
+        return f"delete , at {separators[0]}"
+    return f'insert " at 0; insert " at {separators[many] if n > 1 else at[-1]}'
+
+
 def cheapest_edits(symbols: list[tuple[str, str]], n: int) -> str | None:
-    """Edits of the cheapest parse into exactly `n` cells, as text; None if the table would pass TABLE_LIMIT."""
-    end = len(symbols)
-    if n < 1 or (end + 1) * 4 * n > TABLE_LIMIT:
+    """Edits of the cheapest parse into exactly `n` cells, as text; None if `n` is below one."""
+    if n < 1:
         return None
     at = [0]
     for _, text in symbols:
         at.append(at[-1] + len(text))
-    first = (0, _START, 1)
-    came: dict[tuple, tuple] = {first: (None, "")}
-    cost, queue, done = {first: 0}, deque([first]), set()
-    while queue:
-        node = queue.popleft()
-        if node in done:
-            continue
-        done.add(node)
-        i, state, cell = node
-        if i == end and cell == n and state != _QUOTED:
-            steps = []
-            while node is not None:
-                node, step = came[node]
-                steps.append(step)
-            return "; ".join(s for s in reversed(steps) if s)
-        moves = []
-        if i < end:
-            kind = symbols[i][0]
-            after = _copy(state, kind)
+    kinds = [kind for kind, _ in symbols]
+    if '"' not in kinds and "n" not in kinds:
+        return _plain_edits(at, symbols, n)
+    end, bounds = len(symbols), _bounds(kinds)
+    left = [0] * (end + 1)
+    for i in range(end - 1, -1, -1):
+        left[i] = left[i + 1] + (kinds[i] == ",")
+
+    def bound(i: int, state: int, cell: int) -> int:
+        many = cell + left[i] - n
+        return max(-many, bounds[16 * i + 4 * state + min(max(many, -1), 2) + 1])
+
+    # A node is ((i * 4) + state) * (n + 1) + cell; came holds the node before, times four, plus what was done.
+    width = n + 1
+    first = _START * width + 1
+    came, cost = {first: -1}, {first: 0}
+    queues = defaultdict(deque, {bound(0, _START, 1): deque([first])})
+    while queues:
+        total = min(queues)
+        queue = queues[total]
+        while queue:
+            node = queue.popleft()
+            rest, cell = divmod(node, width)
+            i, state = rest >> 2, rest & 3
+            spent = cost[node]
+            if spent + bound(i, state, cell) != total:
+                continue
+            if i == end and cell == n and state != _QUOTED:
+                steps = []
+                while came[node] >= 0:
+                    node, step = divmod(came[node], 4)
+                    if step:
+                        i = node // width >> 2
+                        steps.append(f"delete {kinds[i]} at {at[i]}" if step == 1 else f"insert {'\",'[step - 2]} at {at[i]}")
+                return "; ".join(reversed(steps))
+            moves = []
+            if i < end:
+                kind = kinds[i]
+                after = _copy(state, kind)
+                if after is not None:
+                    moves.append((i + 1, _START, cell + 1, 0, 0) if after == -1 else (i + 1, after, cell, 0, 0))
+                if kind in '",':
+                    moves.append((i + 1, state, cell, 1, 1))
+            after = _copy(state, '"')
             if after is not None:
-                moves.append(((i + 1, _START, cell + 1) if after == -1 else (i + 1, after, cell), 0, ""))
-            if kind in '",':
-                moves.append(((i + 1, state, cell), 1, f"delete {kind} at {at[i]}"))
-        for kind in '",':
-            after = _copy(state, kind)
-            if after is not None and not (state == _QUOTED and kind == ","):
-                moves.append(((i, _START, cell + 1) if after == -1 else (i, after, cell), 1, f"insert {kind} at {at[i]}"))
-        for to, price, step in moves:
-            if to[2] <= n and to not in done and cost[node] + price < cost.get(to, 1 << 60):
-                cost[to] = cost[node] + price
-                came[to] = (node, step)
-                queue.append(to) if price else queue.appendleft(to)
+                moves.append((i, after, cell, 1, 2))
+            if state != _QUOTED:
+                moves.append((i, _START, cell + 1, 1, 3))
+            for j, s, c, price, step in moves:
+                to = (j * 4 + s) * width + c
+                if c <= n and spent + price < cost.get(to, 1 << 60):
+                    cost[to], came[to] = spent + price, node * 4 + step
+                    due = spent + price + bound(j, s, c)
+                    queues[due].append(to) if due > total else queue.appendleft(to)
+        del queues[total]
     return None
 
 

@@ -1,10 +1,11 @@
 import csv
 import io
 
+import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from keystrata.sources.repair import _symbols, cheapest_edits, parse, zero_cost
+from keystrata.sources.repair import _copy, _symbols, cheapest_edits, parse, zero_cost
 
 
 def apply(raw, edits):
@@ -55,3 +56,46 @@ def test_long_record():
     raw = ",".join(["x" * 50_000] * 20) + '"'
     assert parse(raw, 20)[2] == "quoting"
     assert parse(",".join("a" * 3_000_000), 2)[2] == "columns"
+
+
+def cost_of(raw, n):
+    """Least number of edits, by relaxing the whole table until nothing changes."""
+    symbols = _symbols(raw)
+    cost, again = {(0, 0, 1): 0}, [(0, 0, 1)]
+    while again:
+        i, state, cell = again.pop()
+        copy = lambda kind: {-1: (0, cell + 1), None: None}.get(_copy(state, kind), (_copy(state, kind), cell))
+        to = [((i, *copy(k)), 1) for k in '",' if copy(k) and not (state == 2 and k == ",")]
+        if i < len(symbols):
+            to += [((i + 1, *copy(symbols[i][0])), 0)] if copy(symbols[i][0]) else []
+            to += [((i + 1, state, cell), 1)] if symbols[i][0] in '",' else []
+        for node, price in to:
+            if node[2] <= n and cost[i, state, cell] + price < cost.get(node, 1 << 60):
+                cost[node] = cost[i, state, cell] + price
+                again.append(node)
+    return min(c for (i, state, cell), c in cost.items() if i == len(symbols) and cell == n and state != 2)
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.text(alphabet='ab,,""\n', max_size=16), st.integers(1, 7))
+def test_edits_are_fewest(raw, n):
+    edits = cheapest_edits(_symbols(raw), n)
+    assert len([e for e in edits.split("; ") if e]) == cost_of(raw, n)
+
+
+@pytest.mark.parametrize(
+    ("raw", "n", "cost"),
+    [
+        (",".join(["a"] * 2_047 + ['b"c']), 2_048, 1),
+        (",".join(['"a"'] * 1_500), 2_048, 548),
+        (",".join(['"a,b"'] * 2_049), 2_048, 1),
+        (",".join(["a"] * 3_000 + ['"b"']), 2_048, 2),
+        ("\n".join(["a,b,c"] * 20_000), 11, 8),
+        (",".join(['"a"'] * 12_000), 11, 11_989),
+        (",".join("a" * 3_000_000), 2, 2),
+    ],
+)
+def test_edits_of_large_tables(raw, n, cost):
+    cells, _, reason, edits = parse(raw, n)
+    assert cells is None and reason and len(edits.split("; ")) == cost
+    assert len(zero_cost(_symbols(apply(raw, edits)))) == n
