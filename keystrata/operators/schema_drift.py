@@ -135,6 +135,7 @@ class SchemaHistory:
         `fields` maps every field of the dataset's history, under its last name, to the record's
         value: renamed by the chain, null by default where the file lacks it, and cast to DOUBLE
         and back where every file of the dataset holds numbers in it, so that equal numbers read alike.
+        A file of keys alone has nulls in all of them, a dataset of such files no fields.
         """
         routes = durable(self.routes())
         typed = self.files.select(*DATASET, "file_id", F.explode(F.arrays_zip("names", "types")).alias("f")).select(*DATASET, "file_id", F.col("f.names").alias("name"), F.col("f.types").alias("type"))
@@ -142,7 +143,9 @@ class SchemaHistory:
         target = kinds.groupBy(*DATASET).agg(F.map_from_entries(F.collect_list(F.struct("field", "number"))).alias("target"))
         per_file = routes.where(~_is_key(F.col("field"))).groupBy("file_id").agg(F.map_from_entries(F.collect_list(F.struct("field", "name"))).alias("route"))
         same = [F.col(f"f.{c}").eqNullSafe(F.col(f"t.{c}")) for c in DATASET]
-        plan = self.files.alias("f").join(target.alias("t"), same[0] & same[1] & same[2]).join(per_file, F.col("f.file_id") == per_file["file_id"]).select(F.col("f.file_id"), *[F.col(f"f.{c}") for c in DATASET], "route", "target")
+        plan = self.files.alias("f").join(target.alias("t"), same[0] & same[1] & same[2], "left").join(per_file, F.col("f.file_id") == per_file["file_id"], "left").select(
+            F.col("f.file_id"), *[F.col(f"f.{c}") for c in DATASET], F.coalesce("route", F.create_map().cast("map<string,string>")).alias("route"), F.coalesce("target", F.create_map().cast("map<string,boolean>")).alias("target")
+        )
         rows = sized_join(self.load.valid().select("file_id", "rec_no", "key", "names", "cells"), durable(plan), "file_id")
         distinct = F.array_distinct("names")
         cell_of = lambda n: F.get("cells", (F.array_position(F.col("names"), n) - 1).cast("int"))

@@ -78,3 +78,10 @@ def test_chain_of_renames(spark):
 def test_empty_manifest(spark):
     h = history(spark, [], body(1, "input,a", ["C,1"]))
     assert h.changes().count() == 0 and h.unified().count() == 0
+
+
+def test_files_of_keys_alone(spark):
+    files = [(1, "b", "m", "v", 1), (2, "b", "m", "v", 2), (3, None, "m", "v", 1), (4, None, "m", "v", 2)]
+    rows = body(1, "input,a", ["C1,1", "C2,2"]) + body(2, "smiles", ["C1", "C3"]) + body(3, "input", ["C1"]) + body(4, "input,smiles", ["C1,C1"])
+    out = {(r.file_id, r.key): r.fields for r in history(spark, files, rows).unified().collect()}
+    assert out == {(1, "C1"): {"a": "1.0"}, (1, "C2"): {"a": "2.0"}, (2, "C1"): {"a": None}, (2, "C3"): {"a": None}, (3, "C1"): {}, (4, "C1"): {}}
