@@ -46,7 +46,7 @@ def p3_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p3_error_rate(spark: SparkSession, d: str) -> DataFrame:
-    return SeenKeys(error=1e-3).rate(table(spark, d, "wanted_keys"), table(spark, d, "key_index"))
+    return SeenKeys().rate(table(spark, d, "wanted_keys"), table(spark, d, "key_index"))
 
 
 def p4_found(spark: SparkSession, d: str) -> DataFrame:

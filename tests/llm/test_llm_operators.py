@@ -64,6 +64,13 @@ def test_error_report(spark, small):
     assert r.asked > r.seen > 0 and 0 <= r.measured_rate <= 10 * r.bound
 
 
+def test_error_report_is_of_the_answering_filter(spark, small):
+    r = QUERIES["p3_error_rate"](spark, small).first()
+    assert r.bound == SeenKeys().error and r.seen == QUERIES["p3_found"](spark, small).count()
+    loose = SeenKeys(error=1e-3).rate(spark.range(50_000).selectExpr("id ord", "cast(id as string) input")).first()
+    assert (loose.asked, loose.bound) == (50_000, 1e-3) and loose.wrong == loose.seen and 0 <= loose.measured_rate <= 1e-3
+
+
 # -- history graph -----------------------------------------------------------------------------
 
 
