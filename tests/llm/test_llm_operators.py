@@ -129,6 +129,18 @@ def test_graph_recall_against_exhaustive_search(spark):
     assert want and len(got & want) / len(want) >= 0.99
 
 
+def test_few_neighbours_are_searched_for_in_full():
+    """A graph without links gives nothing: 99.9 % must hold even where a handful of queries has any neighbour."""
+    rng = random.Random(8)
+    keys = ["".join(rng.choices("CNOSPFIBr()=#123", k=40)) for _ in range(1500)]
+    queries = signatures(keys[:400] + [keys[k] + "X" for k in (401, 777, 1203)])
+    g = SmallWorld.build(signatures(keys))
+    g.links[:] = -1
+    want = set(zip(*[x.tolist() for x in np.nonzero(scan(queries, g.signatures) <= 12)]))
+    rows, nodes = g.within(queries, 12)
+    assert {(400, 401), (401, 777), (402, 1203)} <= want == set(zip(rows.tolist(), nodes.tolist())) and len(rows) == len(want)
+
+
 def test_edits_match_brute():
     rng = random.Random(9)
     for _ in range(3000):
