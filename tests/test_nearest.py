@@ -47,3 +47,10 @@ def test_join_form_follows_size(spark):
     big, small = spark.range(100).withColumnRenamed("id", "k"), spark.range(10).withColumnRenamed("id", "k")
     plan = lambda limit: sized_join(big, small, "k", limit=limit)._jdf.queryExecution().analyzed().toString()
     assert "broadcast" in plan(1 << 20) and "broadcast" not in plan(1)
+
+
+def test_key_without_common_grams(spark):
+    df = lambda *keys: spark.createDataFrame([(k,) for k in keys], "input string")
+    got = {tuple(r) for r in nearest_keys(df("CCO", "CCN", "BBB"), df("CCO", "zq#", "B")).collect()}
+    assert {(a, b) for a, b, _ in got} == {("CCO", "CCO"), ("zq#", "BBB"), ("B", "BBB")} and ("zq#", "BBB", 0.0) in got
+    assert nearest_keys(df("CCO").limit(0), df("CCO")).count() == 0
