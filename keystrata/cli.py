@@ -35,7 +35,7 @@ def parser() -> argparse.ArgumentParser:
     add("move")
     add("remove", ("--yes", {"action": "store_true"}))
     add("inspect", ("--input", {}), target, bucket=False)
-    add("catalog", ("--filter", {"default": ""}), model=False)
+    add("catalog", ("--filter", {"default": ""}), target, model=False)
     add("pull", source, ("--remote", {"required": True}))
     add("push", ("--remote", {"required": True}), bucket=False)
     return p
@@ -61,9 +61,10 @@ def run(argv: list[str] | None = None) -> int:
         print(f"{store.remove(ds, a.yes)} files")
     elif a.command == "inspect":
         out = store.inspect_inputs(read_wanted(spark, a.input), a.model, a.version).drop("ord") if a.input else store.list_available(a.model, a.version)
-        write_results(out, a.output, single=True) if a.output else out.show(50, False)
+        write_results(out, a.output, single=True) if a.output else out.show(max(1, out.count()), False)
     elif a.command == "catalog":
-        store.catalog(a.bucket, a.filter).show(1000, False)
+        found = store.catalog(a.bucket, a.filter)
+        write_results(found, a.output, single=True) if a.output else found.show(max(1, found.count()), False)
     elif a.command == "pull":
         print(pull(Store(spark, a.remote), store, ds, read_wanted(spark, a.input)))
     elif a.command == "push":

@@ -159,3 +159,15 @@ def test_dump(spark, store, tmp_path):
     store.write(DS, rows(spark, [("a", "1")]))
     store.copy(DS, str(tmp_path / "dump"))
     assert list((tmp_path / "dump").rglob("*.parquet"))
+
+
+def test_catalog_on_the_command_line_is_whole(spark, tmp_path, monkeypatch, capsys):
+    from keystrata import cli
+
+    many = spark.range(1_100).selectExpr("concat('m', id, '/v1') model", "id entries", "1 chunks")
+    monkeypatch.setattr(cli, "build_session", lambda *a: spark)
+    monkeypatch.setattr(cli.Store, "catalog", lambda *a: many)
+    cli.run(["--root", str(tmp_path), "catalog", "-b", "b"])
+    assert capsys.readouterr().out.count("/v1") == 1_100
+    cli.run(["--root", str(tmp_path), "catalog", "-b", "b", "--output", str(tmp_path / "out.csv")])
+    assert (tmp_path / "out.csv").exists()
