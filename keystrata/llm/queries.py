@@ -3,13 +3,17 @@
 from __future__ import annotations
 
 import os
+import uuid
 from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from keystrata.llm import bpe, history_graph, leaks, same_record, shared_spans
 from keystrata.llm.seen_keys import SeenKeys
+from keystrata.plans.session import shared_dir
 
 TOKENIZERS = os.environ.get("TOKENIZER_DIR", "/opt/tokenizers")
 
@@ -21,24 +25,34 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 BATCHED = {"stored_results": "result_id", "access_entries": "seq"}
 
 
-def p2_found(spark: SparkSession, d: str) -> DataFrame:
-    parts = [history_graph.link(table(spark, d, t), i).select(F.lit(t).alias("table_name"), "first_id", "dup_id") for t, i in BATCHED.items()]
+def _both(spark: SparkSession, d: str, cases: Callable[[DataFrame, str], DataFrame]) -> DataFrame:
+    """`cases` of both tables, worked on side by side."""
+    with ThreadPoolExecutor(len(BATCHED)) as pool:
+        parts = list(pool.map(lambda t: cases(table(spark, d, t), BATCHED[t]).select(F.lit(t).alias("table_name"), "first_id", "dup_id"), BATCHED))
     return parts[0].unionByName(parts[1])
 
 
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    return _both(spark, d, lambda rows, i: history_graph.link(rows, i, batch="batch_no"))
+
+
+#: Batches of one delivery in p2_batches.
+DELIVERY = 20
+
+
 def p2_batches(spark: SparkSession, d: str) -> DataFrame:
-    """The same rows, the batches arriving in four deliveries of about equal length."""
-    parts = []
-    for t, i in BATCHED.items():
-        rows, index = table(spark, d, t), history_graph.HistoryIndex(compact_at=2)
+    """The same rows, the batches arriving in deliveries of DELIVERY batches; each delivery opens the saved index anew."""
+
+    def cases(rows: DataFrame, i: str) -> DataFrame:
+        path, parts = f"{shared_dir(spark)}/history-{uuid.uuid4().hex}", []
         last = rows.agg(F.max("batch_no")).first()[0] or 0
-        for k in range(4):
-            delivery = rows.where((F.col("batch_no") > last * k // 4 - (k == 0)) & (F.col("batch_no") <= last * (k + 1) // 4))
-            parts.append(index.add(delivery, i).select(F.lit(t).alias("table_name"), "first_id", "dup_id"))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+        for k in range(0, last + 1, DELIVERY):
+            batch = F.coalesce("batch_no", F.lit(0))
+            parts.append(history_graph.HistoryIndex(spark, path).add(rows.where((batch >= k) & (batch < k + DELIVERY)), i, batch="batch_no"))
+        history_graph.HistoryIndex(spark, path).drop()
+        return reduce(DataFrame.unionByName, parts)
+
+    return _both(spark, d, cases)
 
 
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
