@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import argparse
 import sys
+from importlib.util import find_spec
 
+from keystrata.functions.grid import ChemistryDescriptors, OneCell, SuppliedDescriptors
 from keystrata.operators.lookup import MissingInputs
 from keystrata.plans.session import build_session
 from keystrata.sources.csv_io import read_results, read_wanted, write_results
@@ -29,7 +31,7 @@ def parser() -> argparse.ArgumentParser:
             c.add_argument(flag, **kw)
 
     source, target = ("--input", {"required": True}), ("--output", {})
-    add("write", source, ("--access", {"choices": ["public", "private", "both"], "default": "both"}))
+    add("write", source, ("--access", {"choices": ["public", "private", "both"], "required": True}), ("--mw", {"help": "column of the molecular weight"}), ("--logp", {"help": "column of logP"}))
     add("read", source, ("--output", {"required": True}), ("--approximate", {"action": "store_true"}), ("--lenient", {"action": "store_true"}))
     add("copy", ("--output", {}))
     add("move")
@@ -41,16 +43,25 @@ def parser() -> argparse.ArgumentParser:
     return p
 
 
+def _descriptors(mw: str | None, logp: str | None):
+    """Supplied columns where named, else RDKit where it is installed, else one cell for all keys."""
+    if (mw is None) != (logp is None):
+        raise ValueError("--mw and --logp go together")
+    if mw is not None:
+        return SuppliedDescriptors(mw, logp)
+    return ChemistryDescriptors() if find_spec("rdkit") else OneCell()
+
+
 def run(argv: list[str] | None = None) -> int:
     a = parser().parse_args(argv)
     spark = build_session("keystrata-cli")
-    store = Store(spark, a.root)
+    store = Store(spark, a.root, provider=_descriptors(getattr(a, "mw", None), getattr(a, "logp", None)))
     ds = DatasetId(a.bucket, a.model, a.version) if hasattr(a, "bucket") and hasattr(a, "model") else None
     if a.command == "write":
         if a.bucket in (store.public, store.private):
             raise ValueError("rows are written to a project bucket, and copied to the default ones")
         s = store.write(ds, read_results(spark, a.input), access=a.access)
-        print(f"new {s.new}, duplicates {s.duplicates}, blank {s.blank}, rejected {s.rejected}")
+        print(f"new {s.new}, duplicates {s.duplicates}, blank {s.blank}, rejected {s.rejected}, {s.rows_per_second:.0f} rows/s")
     elif a.command == "read":
         write_results(store.read(ds, read_wanted(spark, a.input), approximate=a.approximate, strict=not a.lenient), a.output, single=True)
     elif a.command == "copy":

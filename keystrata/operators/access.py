@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from keystrata.functions.text import blank_to_null
+from keystrata.operators.keys import unseen
 
 
 def cleaned(entries: DataFrame) -> DataFrame:
@@ -35,4 +36,4 @@ def latest(entries: DataFrame) -> DataFrame:
 
 def delta(source: DataFrame, target: DataFrame) -> DataFrame:
     """Rows of `source` whose key `target` lacks: what a pull or a push moves."""
-    return source.join(target.select("input").distinct(), "input", "left_anti")
+    return unseen(source, target, "input")

@@ -12,11 +12,14 @@ from collections.abc import Iterable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from keystrata.operators.keys import present, unseen
 from keystrata.plans.joins import sized_join
 from keystrata.plans.session import durable
 
-#: Longest list of literal keys that is also pushed to the scan.
+#: Longest list of literal keys that is pushed to the scan as such.
 LITERALS = 200
+#: Ordinals that may share an array.
+ORDINALS = 1 << 16
 
 
 class MissingInputs(LookupError):
@@ -28,9 +31,15 @@ class MissingInputs(LookupError):
 
 
 def lookup(store: DataFrame, wanted: DataFrame, key: str = "input", columns: Iterable[str] | None = None) -> DataFrame:
-    """(ord, key, columns): unsorted inner lookup; repeated wanted and stored keys multiply."""
+    """(ord, key, columns): unsorted inner lookup; repeated wanted and stored keys multiply.
+
+    The wanted side holds each key once, with the array of its ordinals, in blocks: so a key wanted
+    very often is a few rows, neither sent out nor shuffled row by row.
+    """
     kept = [c for c in (columns or store.columns) if c not in (key, "ord")]
-    return sized_join(store.select(key, *kept), wanted.select(key, "ord"), key).select("ord", key, *kept)
+    block = F.floor(F.col("ord") / ORDINALS)
+    once = wanted.groupBy(key, block.alias("_block")).agg(F.collect_list(F.struct("ord")).alias("_ords")).drop("_block")
+    return sized_join(store.select(key, *kept), once, key).select(F.explode("_ords").alias("_o"), key, *kept).select("_o.ord", key, *kept)
 
 
 def ordered(found: DataFrame, *ties: str) -> DataFrame:
@@ -39,8 +48,11 @@ def ordered(found: DataFrame, *ties: str) -> DataFrame:
 
 
 def push_keys(store: DataFrame, keys: list, key: str = "input") -> DataFrame:
-    """`store` filtered by literal keys, which reach the scan; a longer list is left to the join."""
-    return store.where(F.col(key).isin(keys)) if len(keys) <= LITERALS else store
+    """`store` filtered by literal keys. A short list reaches the scan as literals, a longer one is joined, with its bounds pushed to the scan."""
+    if len(keys) <= LITERALS:
+        return store.where(F.col(key).isin(keys))
+    given = store.sparkSession.createDataFrame([(k,) for k in set(keys)], store.select(key).schema)
+    return sized_join(store.where(F.col(key).between(min(keys), max(keys))), given, key, "left_semi")
 
 
 def push_cells(store: DataFrame, cells: list[tuple[int, int]]) -> DataFrame:
@@ -56,7 +68,7 @@ def push_cells(store: DataFrame, cells: list[tuple[int, int]]) -> DataFrame:
 
 def missing(wanted: DataFrame, index: DataFrame, key: str = "input") -> DataFrame:
     """Wanted rows whose key the index lacks; repeats stay."""
-    return wanted.join(index.select(key).distinct(), key, "left_anti")
+    return unseen(wanted, index, key)
 
 
 def missing_preview(wanted: DataFrame, index: DataFrame, key: str = "input", n: int = 5) -> DataFrame:
@@ -66,7 +78,8 @@ def missing_preview(wanted: DataFrame, index: DataFrame, key: str = "input", n:
 
 def strict_lookup(store: DataFrame, wanted: DataFrame, key: str = "input", columns: Iterable[str] | None = None) -> DataFrame:
     """`lookup` that fails with `MissingInputs` if a wanted key is not stored."""
-    gone = durable(missing(wanted, store, key).select("ord", key))
+    held = durable(present(wanted, store, key))
+    gone = wanted.join(held, key, "left_anti")
     total = gone.count()
     if total:
         raise MissingInputs([r[0] for r in gone.orderBy("ord").limit(5).select(key).collect()], total)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -15,6 +17,7 @@ def build_session(app: str = "keystrata", cores: int = 8, **conf: str) -> SparkS
         "spark.sql.adaptive.skewJoin.enabled": "true",
         "spark.sql.session.timeZone": "UTC",
         "spark.sql.execution.arrow.pyspark.enabled": "true",
+        "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
         "spark.ui.enabled": "false",
         "spark.driver.memory": "8g",
     } | {k.replace("__", "."): v for k, v in conf.items()}
@@ -22,15 +25,23 @@ def build_session(app: str = "keystrata", cores: int = 8, **conf: str) -> SparkS
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's checkpoint folder; a temporary one only where none is set (tests, one machine)."""
+    """The folder all executors share, named by spark.checkpoint.dir. Only a session on one machine gets a temporary one where that is unset."""
     sc = spark.sparkContext
-    named = spark.conf.get("spark.checkpoint.dir", None)
+    named = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
+    if named is None and not sc.master.startswith("local[") and sc.master != "local":
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="keystrata-"))
+        if named is None:
+            named = tempfile.mkdtemp(prefix="keystrata-")
+            atexit.register(shutil.rmtree, named, ignore_errors=True)
+        sc.setCheckpointDir(named)
     return named or sc.getCheckpointDir()
 
 
 def durable(df: DataFrame) -> DataFrame:
-    """`df` computed once and kept in the shared folder, so that later jobs neither repeat it nor lose it with an executor."""
+    """`df` computed once and kept in the shared folder, so that later jobs neither repeat it nor lose it with an executor.
+
+    Its files go when the result is no longer used, where spark.cleaner.referenceTracking.cleanCheckpoints is on.
+    """
     shared_dir(df.sparkSession)
     return df.checkpoint(eager=True)

@@ -50,28 +50,29 @@ def _is_key(name: Column) -> Column:
     return F.lower(name).isin("input", "smiles")
 
 
-def _key(names: Column, cells: Column) -> Column:
-    """The first non-blank input cell, else the first non-blank smiles cell, else the empty string."""
-    both = F.arrays_zip(names.alias("name"), cells.alias("cell"))
+def _places(names: Column, kind: str) -> Column:
+    """Positions of the fields of this name in any letter case."""
+    at = F.transform(names, lambda x, i: F.when(F.lower(x) == kind, i))
+    return F.array_compact(at)
 
-    def first(kind: str) -> Column:
-        return F.get(F.filter(both, lambda x: (F.lower(x["name"]) == kind) & (x["cell"] != "")), F.lit(0))["cell"]
 
-    return F.coalesce(first("input"), first("smiles"), F.lit(""))
+#: White space beside a separator, a quote or an end: only such records have cells to trim.
+_PADDED = r'(?U)(?:\A|[,"])\s|\s(?:\z|[,"])'
 
 
 class CsvLoad:
-    """The records of many files, parsed by minimum-cost repair and checked against each file's own types."""
+    """The records of many files, parsed once by minimum-cost repair and checked against each file's own types."""
 
     def __init__(self, records: DataFrame, share: float = SHARE):
         self.share = share
         records = records.select("file_id", "rec_no", "raw")
         self.headers = durable(headers(records))
         rows = records.where((F.col("rec_no") != 0) & ~is_blank(F.col("raw"))).withColumn("raw", without_end(F.col("raw")))
-        joined = sized_join(rows, self.headers, "file_id", "left").withColumn("n", F.coalesce("n", F.lit(0))).withColumn("names", F.coalesce("names", F.array().cast("array<string>")))
-        self.parsed = joined.withColumn("p", parse_column(F.col("raw"), F.col("n"))).select(
-            "file_id", "rec_no", "raw", "names", F.transform("p.cells", trim_unicode).alias("cells"), F.col("p.reason").alias("syntax"), F.col("p.edits").alias("edits")
-        )
+        joined = sized_join(rows, self.headers.select("file_id", "n"), "file_id", "left").withColumn("n", F.coalesce("n", F.lit(0)))
+        p = joined.withColumn("p", parse_column(F.col("raw"), F.col("n")))
+        trimmed = F.when(F.col("raw").rlike(_PADDED), F.transform("p.cells", trim_unicode)).otherwise(F.col("p.cells"))
+        failed = F.col("p.reason").isNotNull()
+        self.parsed = durable(p.select("file_id", "rec_no", F.when(failed, F.col("raw")).alias("raw"), F.when(~failed, trimmed).alias("cells"), F.col("p.reason").alias("syntax"), F.col("p.edits").alias("edits")))
         self.types = durable(self._types())
 
     def _types(self) -> DataFrame:
@@ -86,18 +87,33 @@ class CsvLoad:
         )
 
     def checked(self) -> DataFrame:
-        """(file_id, rec_no, raw, names, types, cells, key, reason, edits); a null reason marks a valid record."""
-        d = sized_join(self.parsed, self.types, "file_id", "left").withColumn("key", _key(F.col("names"), F.col("cells")))
+        """(file_id, rec_no, raw, names, types, cells, key, reason, edits); a null reason marks a valid record.
+
+        A record that parses at no cost and holds a cell of no use is edited by replacing that cell;
+        any edit makes it fail. `raw` is kept for records that don't parse.
+        """
+        files = self.headers.join(self.types, "file_id", "left").select(
+            "file_id",
+            "names",
+            "types",
+            _places(F.col("names"), "input").alias("inputs"),
+            _places(F.col("names"), "smiles").alias("smiles"),
+            F.array_compact(F.transform(F.arrays_zip("names", "types"), lambda x, i: F.when(~_is_key(x["names"]) & (x["types"] != "text"), F.struct(i.alias("at"), x["types"].alias("type"))))).alias("typed"),
+        )
+        d = sized_join(self.parsed, files, "file_id", "left").withColumns({c: F.coalesce(c, F.array().cast(k)) for c, k in (("names", "array<string>"), ("inputs", "array<int>"), ("smiles", "array<int>"))})
+        first = lambda at: F.get(F.filter(F.transform(at, lambda i: F.get("cells", i)), lambda x: x != ""), F.lit(0))
+        d = d.withColumn("key", F.coalesce(first("inputs"), first("smiles"), F.lit("")))
         key = F.col("key")
         bad_key = (key == "") | key.rlike(r"(?U)\s") | ~balanced(key, "(", ")") | ~balanced(key, "[", "]")
-        misfit = F.exists(
-            F.arrays_zip("names", "types", "cells"),
-            lambda x: (x["cells"] != "") & ~_is_key(x["names"]) & (((x["types"] == "integer") & ~x["cells"].rlike(INTEGER)) | ((x["types"] == "number") & ~x["cells"].rlike(NUMBER))),
-        )
-        return d.withColumn("reason", F.coalesce("syntax", F.when(bad_key | misfit, "value"))).drop("syntax")
+        cell = lambda x: F.get("cells", x["at"])
+        unfit = F.filter("typed", lambda x: (cell(x) != "") & F.when(x["type"] == "integer", ~cell(x).rlike(INTEGER)).otherwise(~cell(x).rlike(NUMBER)))
+        replaced = F.concat(F.when(bad_key, F.array(F.lit("replace the key"))).otherwise(F.array().cast("array<string>")), F.transform(F.coalesce(unfit, F.array().cast("array<struct<at:int,type:string>>")), lambda x: F.concat(F.lit("replace "), F.get("names", x["at"]))))
+        d = d.withColumn("edits", F.when(F.col("syntax").isNotNull(), F.col("edits")).otherwise(F.nullif(F.array_join(replaced, "; "), F.lit(""))))
+        reason = F.coalesce("syntax", F.when(F.col("edits").isNotNull(), "value"))
+        return d.select("file_id", "rec_no", "raw", "names", "types", "cells", "key", reason.alias("reason"), "edits")
 
     def failed(self) -> DataFrame:
-        """(file_id, rec_no, reason, edits, raw) of the records that can't be loaded."""
+        """(file_id, rec_no, reason, edits, raw) of the records that can't be loaded; `raw` only of those that don't parse."""
         return self.checked().where(F.col("reason").isNotNull()).select("file_id", "rec_no", "reason", "edits", "raw").distinct()
 
     def valid(self) -> DataFrame:

@@ -8,6 +8,10 @@ table (symbol, state, cell number) in order of cost so far plus a lower bound of
 end. The bound is exact but for the number of cells, of which it tells only one too many, several
 too many and too few apart; missing cells count one each. So the search keeps near the cheapest
 parse at any number of symbols and cells. Records of plain cells only are settled by counting.
+
+The edit operations state the reason. `free_cost` is the same table without the cell number: if
+the cheapest parse into any number of cells needs edits, the record fails by `quoting`; if only
+that into the header's number does, by `columns`; if neither does, it has cost zero and its cells.
 """
 
 from __future__ import annotations
@@ -44,24 +48,60 @@ def _symbols(raw: str) -> list[tuple[str, str]]:
     return [(t if t in '",' else "n" if t in "\r\n" else "x", t) for t in _SYMBOL.findall(raw)]
 
 
-def zero_cost(symbols: list[tuple[str, str]]) -> list[str] | None:
-    """Cells of a record that needs no edit, else None."""
-    cells, state, part = [], _START, []
+def free_cost(symbols: list[tuple[str, str]]) -> tuple[int, list[str] | None]:
+    """(cost, cells) of the cheapest parse into any number of cells; the cells only of a parse without edits.
+
+    One row of the table, a cost for each state, is kept; while the parse of cost zero lives, its
+    cells are too. There is at most one, as every symbol has one way to be copied.
+    """
+    free: int | None = _START
+    cells: list[str] = []
+    part: list[str] = []
     for kind, text in symbols:
-        after = _copy(state, kind)
-        if after is None:
-            return None
+        after = _copy(free, kind)
         if after == -1:
             cells.append("".join(part))
-            state, part = _START, []
+            part, free = [], _START
             continue
-        if kind != '"' or (state, after) == (_AFTER, _QUOTED):
+        if kind != '"' or (free, after) == (_AFTER, _QUOTED):
             part.append(text)
-        state = after
-    if state == _QUOTED:
-        return None
-    cells.append("".join(part))
-    return cells
+        free = after
+        if free is None:
+            break
+    if free is not None and free != _QUOTED:
+        return 0, [*cells, "".join(part)]
+    costs = _settled([0, _FAR, _FAR, _FAR])
+    for kind, _ in symbols:
+        later = [_FAR] * 4
+        for state, cost in enumerate(costs):
+            after = _copy(state, kind)
+            if after is not None:
+                after = _START if after == -1 else after
+                later[after] = min(later[after], cost)
+            if kind in '",':
+                later[state] = min(later[state], cost + 1)
+        costs = _settled(later)
+    return min(costs[_START], costs[_BARE], costs[_AFTER]), None
+
+
+def zero_cost(symbols: list[tuple[str, str]]) -> list[str] | None:
+    """Cells of a record that needs no edit, else None."""
+    return free_cost(symbols)[1]
+
+
+def _settled(costs: list[int]) -> list[int]:
+    """Costs of the states after inserting quotes and separators where that is cheaper."""
+    while True:
+        better = list(costs)
+        for state, cost in enumerate(costs):
+            after = _copy(state, '"')
+            if after is not None:
+                better[after] = min(better[after], cost + 1)
+            if state != _QUOTED:
+                better[_START] = min(better[_START], cost + 1)
+        if better == costs:
+            return costs
+        costs = better
 
 
 def _moves() -> tuple[dict[str, list[tuple[int, int, int]]], list[tuple[int, int]]]:
@@ -185,8 +225,8 @@ def cheapest_edits(symbols: list[tuple[str, str]], n: int) -> str | None:
 def parse(raw: str, n: int) -> tuple[list[str] | None, int, str | None, str | None]:
     """(cells, their number, reason, edits) of one record under a header of `n` cells."""
     symbols = _symbols(raw)
-    cells = zero_cost(symbols)
-    if cells is None:
+    cost, cells = free_cost(symbols)
+    if cost:
         return None, 0, "quoting", cheapest_edits(symbols, n)
     if len(cells) != n:
         return None, len(cells), "columns", cheapest_edits(symbols, n)

@@ -1,23 +1,27 @@
 """The store: keyed, versioned result tables by bucket, model and version.
 
-Layout: <root>/<bucket>/<model>/<version>/results/row=R/col=C/*.parquet and .../access/*.parquet.
-The index is a projection of the results, so it can't disagree with them. Results are committed
-before access; a move deletes its source only after counting what arrived. One writer per
-dataset at a time is assumed, as nothing here locks.
+Layout: <root>/<bucket>/<model>/<version>/results/row=R/col=C/*.parquet and .../access/*.parquet;
+.../schema holds the columns as JSON, so that a read opens no footers to learn them. The index is
+a projection of the results, so it can't disagree with them. Results are committed before access;
+a move deletes its source only after every key of it arrived somewhere. One writer per dataset at
+a time is assumed, as nothing here locks.
 """
 
 from __future__ import annotations
 
+import json
+import time
 from collections.abc import Iterable
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from keystrata.functions.grid import OneCell, place
 from keystrata.operators import access as acc
 from keystrata.operators import buckets, key_neighbour, lookup
-from keystrata.operators.keys import first_wins, unseen, with_key
+from keystrata.operators.keys import first_wins, key_of, unseen, with_key
 from keystrata.plans.session import durable
 from keystrata.sources.layout import DatasetId, DatasetNotFound, Files
 
@@ -26,12 +30,22 @@ class SchemaMismatch(ValueError):
     pass
 
 
+class UnmatchedAccess(ValueError):
+    """A move would lose rows that have no target."""
+
+
 @dataclass
 class WriteStats:
     new: int
     duplicates: int
     blank: int
     rejected: int
+    seconds: float = 0.0
+
+    @property
+    def rows_per_second(self) -> float:
+        """Rows given per second, 0 where no time was measured."""
+        return (self.new + self.duplicates + self.blank + self.rejected) / self.seconds if self.seconds > 0 else 0.0
 
 
 class Store:
@@ -48,7 +62,26 @@ class Store:
     def results(self, ds: DatasetId) -> DataFrame:
         if not self.has(ds):
             raise DatasetNotFound(ds.path)
-        return self.spark.read.option("mergeSchema", True).parquet(self.files.full(f"{ds.path}/results"))
+        path, schema = self.files.full(f"{ds.path}/results"), self._schema(ds)
+        if schema is None:  # written by other means: the footers tell
+            return self.spark.read.option("mergeSchema", True).parquet(path)
+        return self.spark.read.schema(schema).parquet(path)
+
+    def _schema(self, ds: DatasetId) -> T.StructType | None:
+        if not self.files.exists(f"{ds.path}/schema/_SUCCESS"):
+            return None
+        return T.StructType.fromJson(json.loads(self.spark.read.text(self.files.full(f"{ds.path}/schema")).first()[0]))
+
+    def _keep_schema(self, ds: DatasetId, new: T.StructType) -> None:
+        """Adds columns that the stored schema lacks; it is written before the rows, as columns without rows do no harm."""
+        old = self.results(ds).schema if self.has(ds) else T.StructType()
+        cells = [T.StructField(c, T.IntegerType()) for c in ("row", "col")]
+        fields = [f for f in [*old.fields, *[f for f in new.fields if f.name not in old.names]] if f.name not in ("row", "col")]
+        merged = T.StructType([T.StructField(f.name, f.dataType, True) for f in fields] + cells)
+        if merged != self._schema(ds):
+            staged = f"{ds.path}/schema.staged"
+            self.spark.createDataFrame([(merged.json(),)], "value string").coalesce(1).write.mode("overwrite").text(self.files.full(staged))
+            self.files.replace(f"{ds.path}/schema", staged)
 
     def index(self, ds: DatasetId) -> DataFrame:
         """(input, row, col) of the stored keys; reads only these columns."""
@@ -94,15 +127,21 @@ class Store:
         return found
 
     def catalog(self, bucket: str, prefix: str = "") -> DataFrame:
-        """(model, entries, chunks) of every dataset of a bucket; `model` is name/version, taken from whole folder names."""
-        rows = []
-        for model in (m for m in self.files.prefixes(bucket) if m.startswith(prefix)):
-            for version in self.files.prefixes(f"{bucket}/{model}"):
-                ds = DatasetId(bucket, model, version)
-                if self.has(ds):
-                    chunks = sum(p.endswith(".parquet") for p, _ in self.files.listing(f"{ds.path}/results"))
-                    rows.append((f"{model}/{version}", self.results(ds).select("input").distinct().count(), chunks))
-        return self.spark.createDataFrame(rows, "model string, entries long, chunks long")
+        """(model, entries, chunks) of every dataset of a bucket; `model` is name/version, taken from whole folder names.
+
+        One scan of the key columns over all datasets, grouped by the folders in their files' paths.
+        """
+        found = [DatasetId(bucket, m, v) for m in self.files.prefixes(bucket) if m.startswith(prefix) for v in self.files.prefixes(f"{bucket}/{m}")]
+        found = [self.files.full(f"{ds.path}/results") for ds in found if self.has(ds)]
+        if not found:
+            return self.spark.createDataFrame([], "model string, entries long, chunks long")
+        rows = self.spark.read.schema("input string").option("recursiveFileLookup", True).parquet(*found)
+        file = F.col("_metadata.file_path")
+        folder = F.regexp_extract(file, r"([^/]+/[^/]+)/results/(?:[^/]+/)*[^/]+$", 1)
+        keys = rows.select("input", folder.alias("model"), F.xxhash64(file).alias("file")).groupBy("model", "input", "file").agg(F.lit(1).alias("one"))
+        chunks = keys.groupBy("model", "file").agg(F.lit(1).alias("one")).groupBy("model").agg(F.count("*").alias("chunks"))
+        entries = keys.groupBy("model", "input").agg(F.lit(1).alias("one")).groupBy("model").agg(F.count("input").alias("entries"))
+        return entries.join(chunks, "model").select(F.url_decode("model").alias("model"), "entries", "chunks")
 
     # -- writing -------------------------------------------------------------------------------
 
@@ -112,27 +151,37 @@ class Store:
         Rows are taken in the order of a column `ord`, or as the source gives them. Features may be
         added later; a column whose type differs from the stored one stops the write.
         """
-        if "ord" not in rows.columns:
-            rows = rows.withColumn("ord", F.monotonically_increasing_id())
-        rows = durable(rows)
-        total = rows.count()
-        keyed = with_key(rows)
-        firsts = first_wins(keyed, "input", "ord")
+        began = time.monotonic()
+        rows = rows if "ord" in rows.columns else rows.withColumn("ord", F.monotonically_increasing_id())
+        rows = durable(rows.withColumn("_key", key_of(rows)).withColumn("_at", F.monotonically_increasing_id()))
+        total, n_keyed = rows.agg(F.count("*"), F.count("_key")).first()
+        keyed = rows.drop(*[c for c in rows.columns if c.lower() in ("input", "smiles")]).withColumnRenamed("_key", "input").where(F.col("input").isNotNull())
+        firsts = first_wins(keyed, "input", "ord", "_at").drop("_at")
         if self.has(ds):
             old = self.results(ds)
             stored = {f.name: f.dataType for f in old.schema}
-            for f in keyed.schema:
+            for f in firsts.schema:
                 if f.name in stored and f.name not in ("row", "col", "ord") and stored[f.name] != f.dataType:
                     raise SchemaMismatch(f"{f.name}: stored as {stored[f.name].simpleString()}, given as {f.dataType.simpleString()}")
             firsts = unseen(firsts, old)
         placed = durable(firsts if {"row", "col"} <= set(firsts.columns) else place(firsts, self.provider))
-        new = placed.where(F.col("row").isNotNull() & F.col("col").isNotNull()).drop("ord")
-        n_keyed, n_placed, n_new = keyed.count(), placed.count(), new.count()
+        is_placed = F.col("row").isNotNull() & F.col("col").isNotNull()
+        n_placed, n_new = placed.agg(F.count("*"), F.count_if(is_placed)).first()
         if n_new:
-            new.repartition("row", "col").sortWithinPartitions("row", "col", "input").write.mode("append").option("maxRecordsPerFile", self.max_rows).partitionBy("row", "col").parquet(self.files.full(f"{ds.path}/results"))
+            new = placed.where(is_placed).drop("ord").withColumns({c: F.col(c).cast("int") for c in ("row", "col")})
+            self._keep_schema(ds, new.schema)
+            self._spread(new).write.mode("append").option("maxRecordsPerFile", self.max_rows).partitionBy("row", "col").parquet(self.files.full(f"{ds.path}/results"))
             if access is not None:
                 self._append_access(ds, new.select("input", F.lit(access).alias("access")))
-        return WriteStats(n_new, n_keyed - n_placed, total - n_keyed, n_placed - n_new)
+        return WriteStats(n_new, n_keyed - n_placed, total - n_keyed, n_placed - n_new, time.monotonic() - began)
+
+    def _spread(self, rows: DataFrame) -> DataFrame:
+        """`rows` by cell, each cell over as many tasks as it holds chunks, so that a full cell is no single task; sorted by key within."""
+        sizes = rows.groupBy("row", "col").agg(F.count("*").alias("n"))
+        parts = durable(sizes.select("row", "col", F.ceil(F.col("n") / self.max_rows).alias("_parts")))  # nine rows at most
+        tasks = parts.agg(F.sum("_parts")).first()[0] or 1
+        split = rows.join(F.broadcast(parts), ["row", "col"]).withColumn("_part", F.pmod(F.xxhash64("input"), "_parts")).drop("_parts")
+        return split.repartition(tasks, "row", "col", "_part").sortWithinPartitions("row", "col", "input").drop("_part")
 
     def _append_access(self, ds: DatasetId, entries: DataFrame) -> None:
         start = self.access(ds).agg(F.max("seq")).first()[0] or 0
@@ -142,8 +191,7 @@ class Store:
         """Rewrites a dataset's many small files as few of at most `max_rows` rows."""
         staged = f"{ds.path}/results.staged"
         self.files.delete(staged)
-        rows = self.results(ds)
-        rows.repartition("row", "col").sortWithinPartitions("row", "col", "input").write.option("maxRecordsPerFile", self.max_rows).partitionBy("row", "col").parquet(self.files.full(staged))
+        self._spread(self.results(ds)).write.option("maxRecordsPerFile", self.max_rows).partitionBy("row", "col").parquet(self.files.full(staged))
         self.files.replace(f"{ds.path}/results", staged)
 
     # -- moving --------------------------------------------------------------------------------
@@ -162,14 +210,24 @@ class Store:
             self.files.dump(ds.bucket, dump_to)
         return done.get("private", 0), done.get("public", 0)
 
+    def unmatched(self, ds: DatasetId) -> DataFrame:
+        """(input): stored keys whose access sends them neither to the private nor to the public bucket."""
+        entries = acc.cleaned(self.access(ds)).where(F.col("access").isin("public", "private"))
+        return acc.delta(self.results(ds).select("input"), entries)
+
     def move(self, ds: DatasetId) -> tuple[int, int]:
-        """`copy`, then the source is deleted, if every key that has a target stands there."""
+        """`copy`, then the source is deleted, if every stored key of it has a target and stands there.
+
+        A source with keys of other access stays whole and `UnmatchedAccess` tells how many these are.
+        """
         if ds.bucket in (self.public, self.private):
             raise ValueError("the source of a move can't be one of its targets")
+        if homeless := self.unmatched(ds).count():
+            raise UnmatchedAccess(f"{homeless} rows are neither public nor private; nothing was moved")
         counts = self.copy(ds)
         entries, store = acc.cleaned(self.access(ds)), self.results(ds)
         for kind, target in self._targets(ds):
-            due = acc.split(store, entries, kind).select("input").distinct()
+            due = acc.split(store, entries, kind).select("input")
             if (acc.delta(due, self.results(target)).count() if self.has(target) else due.count()) > 0:
                 raise RuntimeError(f"not all {kind} rows arrived; the source stays")
         self.files.delete(ds.path)

@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -12,10 +13,12 @@ from keystrata.functions.grid import bin_right_closed
 from keystrata.functions.text import blank_to_null
 from keystrata.operators import access, buckets, chunks, keys, lookup, nearest, packing
 from keystrata.operators.key_neighbour import nearest_keys
-from keystrata.plans.session import shared_dir
+from keystrata.plans.session import durable, shared_dir
 from keystrata.sources import json_sidecars
-from keystrata.sources.layout import DatasetId, next_component, part_of
-from keystrata.store import Store
+from keystrata.sources.csv_io import read_results, write_results
+from keystrata.sources.layout import DatasetId, Files, file_counts, next_component, part_of
+from keystrata.store import Store, UnmatchedAccess
+from keystrata.sync import pull, push
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -87,6 +90,13 @@ def lookup_ordered(s, d):
     return lookup.ordered(lookup.lookup(table(s, d, "customer"), _orders(s, d), "c_custkey"))
 
 
+@query("SELECT row_number() OVER (ORDER BY o_orderkey)::BIGINT AS position, o_orderkey AS ord, c_name FROM orders JOIN customer ON c_custkey = o_custkey")
+def lookup_positions(s, d):
+    """The place of each row in the ordered result."""
+    found = lookup.ordered(lookup.lookup(table(s, d, "customer"), _orders(s, d), "c_custkey", ["c_name"]), "c_custkey")
+    return chunks.with_ordinal(found, "ord", name="position").select("position", "ord", "c_name")
+
+
 @query("SELECT o_orderkey AS ord, c_custkey, c_mktsegment FROM orders JOIN customer ON c_custkey = o_custkey")
 def lookup_projected(s, d):
     return lookup.lookup(table(s, d, "customer"), _orders(s, d), "c_custkey", ["c_mktsegment"])
@@ -358,28 +368,163 @@ def index_json_roundtrip(s, d):
 # -- the store on disk -------------------------------------------------------------------------
 
 
-def _stored(s, d) -> tuple[Store, DatasetId]:
-    """A store in the shared folder, into which all stored results were written under one dataset."""
-    store, ds = Store(s, f"{shared_dir(s)}/store-{uuid.uuid4().hex}"), DatasetId("project", "all", "v1")
-    rows = table(s, d, "stored_results").select(F.col("result_id").alias("ord"), "result_id", "input", "f1", _f3(), F.col("tranche_row").alias("row"), F.col("tranche_col").alias("col"))
-    store.write(ds, rows.where("ord % 2 = 0"))
-    store.write(ds, rows.where("ord % 2 = 1"))
-    return store, ds
+@contextmanager
+def _scratch(s: SparkSession) -> Iterator[str]:
+    """A folder of the shared file system for one query, deleted with all it holds; results that outlive it are made durable first."""
+    path = f"{shared_dir(s)}/store-{uuid.uuid4().hex}"
+    try:
+        yield path
+    finally:
+        Files(s, path).delete("")
+
+
+def _given(s, d) -> DataFrame:
+    return table(s, d, "stored_results").select(F.col("result_id").alias("ord"), "result_id", "input", "f1", _f3(), F.col("tranche_row").alias("row"), F.col("tranche_col").alias("col"))
+
 
+DS = DatasetId("project", "all", "v1")
+#: Rows of a chunk in these queries.
+CHUNK = 500
 
-_WRITTEN = f"(SELECT result_id, {_t('input')} AS input, f1, coalesce(f3, -1)::BIGINT AS f3 FROM stored_results WHERE {_t('input')} IS NOT NULL AND tranche_row IS NOT NULL AND tranche_col IS NOT NULL QUALIFY row_number() OVER (PARTITION BY {_t('input')} ORDER BY result_id % 2, result_id) = 1)"
+
+def _stored(s, d, path: str) -> Store:
+    """A store into which all stored results were written under one dataset, in two deliveries."""
+    store, rows = Store(s, path, max_rows=CHUNK), _given(s, d)
+    store.write(DS, rows.where("ord % 2 = 0"))
+    store.write(DS, rows.where("ord % 2 = 1"))
+    return store
+
+
+_WRITTEN = f"(SELECT result_id, {_t('input')} AS input, f1, coalesce(f3, -1)::BIGINT AS f3, tranche_row, tranche_col FROM stored_results WHERE {_t('input')} IS NOT NULL AND tranche_row IS NOT NULL AND tranche_col IS NOT NULL QUALIFY row_number() OVER (PARTITION BY {_t('input')} ORDER BY result_id % 2, result_id) = 1)"
 
 
 @query(f"SELECT r.input, result_id, f3 FROM {_ACCESS} a JOIN {_WRITTEN} r ON a.input = r.input")
 def write_read_roundtrip(s, d):
-    store, ds = _stored(s, d)
-    return store.read(ds, _access(s, d).withColumnRenamed("seq", "ord"), columns=["result_id", "f3"], strict=False)
+    with _scratch(s) as path:
+        return durable(_stored(s, d, path).read(DS, _access(s, d).withColumnRenamed("seq", "ord"), columns=["result_id", "f3"], strict=False))
+
+
+@query(f"SELECT input, result_id, f3 FROM (SELECT * FROM {_WRITTEN} WHERE result_id % 3 = 0) CROSS JOIN range(2)")
+def store_strict_read(s, d):
+    """Every third row's key wanted twice, none missing."""
+    with _scratch(s) as path:
+        store = _stored(s, d, path)
+        keys_ = durable(store.results(DS).where("result_id % 3 = 0").select("input", "result_id"))
+        wanted = keys_.select(F.col("result_id").alias("ord"), "input").unionByName(keys_.select((-F.col("result_id")).alias("ord"), "input"))
+        return durable(store.read(DS, wanted, columns=["result_id", "f3"]))
 
 
 @query(f"SELECT 'all/v1' AS model, count(*)::BIGINT AS entries FROM {_WRITTEN}")
 def store_catalog(s, d):
-    store, ds = _stored(s, d)
-    return store.catalog(ds.bucket).drop("chunks")
+    """Chunks are files, whose number rests on hashes; `store_chunks` checks their sizes."""
+    with _scratch(s) as path:
+        return durable(_stored(s, d, path).catalog(DS.bucket)).drop("chunks")
+
+
+@query(f"SELECT tranche_row AS row, tranche_col AS col, count(*)::BIGINT AS entries, true AS within_cap, true AS as_catalogued FROM {_WRITTEN} GROUP BY ALL")
+def store_chunks(s, d):
+    """Rows of each cell from the files' counts, whether no file exceeds the cap, and whether the catalog counts as many files."""
+    with _scratch(s) as path:
+        store = _stored(s, d, path)
+        files = file_counts(store.results(DS))
+        n = store.catalog(DS.bucket).first().chunks
+        cell = lambda c: F.regexp_extract("file", rf"/{c}=(\d+)/", 1).cast("int").alias(c)
+        per_cell = files.groupBy(cell("row"), cell("col")).agg(F.sum("n").alias("entries"), (F.max("n") <= CHUNK).alias("within_cap"))
+        return durable(per_cell.crossJoin(files.agg((F.count("*") == n).alias("as_catalogued"))))
+
+
+def _moved(s, d, path: str) -> Store:
+    """The store after each key of an access entry was copied to where its entries say."""
+    store = _stored(s, d, path)
+    store._append_access(DS, table(s, d, "access_entries").select("input", "access"))
+    store.copy(DS)
+    return store
+
+
+_TO = f"SELECT input, result_id, '{{0}}' AS bucket FROM {_WRITTEN} WHERE input IN (SELECT input FROM {_ACCESS} WHERE access = '{{0}}')"
+
+
+@query(f"{_TO.format('public')} UNION ALL {_TO.format('private')}")
+def store_copy(s, d):
+    with _scratch(s) as path:
+        store = _moved(s, d, path)
+        parts = [store.results(DatasetId(b, DS.model, DS.version)).select("input", "result_id", F.lit(b).alias("bucket")) for b in ("public", "private")]
+        return durable(parts[0].unionByName(parts[1]))
+
+
+@query(f"SELECT count(*)::BIGINT AS kept, (SELECT count(*) FROM {_WRITTEN} WHERE input NOT IN (SELECT input FROM {_ACCESS} WHERE access IN ('public', 'private')))::BIGINT AS unmatched FROM {_WRITTEN}")
+def store_move_refused(s, d):
+    """A move that would lose keys without a target leaves every row in place."""
+    with _scratch(s) as path:
+        store = _moved(s, d, path)
+        n = store.unmatched(DS).count()
+        try:
+            store.move(DS)
+        except UnmatchedAccess:
+            pass
+        return durable(store.results(DS).agg(F.count("*").alias("kept")).withColumn("unmatched", F.lit(n).cast("long")))
+
+
+@query(f"SELECT input, result_id FROM {_WRITTEN} WHERE input IN (SELECT input FROM {_ACCESS} WHERE access = 'public')")
+def store_move(s, d):
+    """After a move of keys that all have a target the source is gone and the target holds them."""
+    with _scratch(s) as path:
+        store = _stored(s, d, path)
+        store._append_access(DS, store.results(DS).join(access.keys_with(_access(s, d), "public"), "input", "left_semi").select("input", F.lit("public").alias("access")))
+        store._append_access(DS, store.unmatched(DS).select("input", F.lit("private").alias("access")))
+        store.move(DS)
+        if store.has(DS):
+            raise RuntimeError("the source is still there")
+        return durable(store.results(DatasetId("public", DS.model, DS.version)).select("input", "result_id"))
+
+
+@query(f"SELECT input, result_id FROM {_WRITTEN} WHERE input IN (SELECT input FROM {_ACCESS})")
+def store_pull(s, d):
+    with _scratch(s) as path, _scratch(s) as other:
+        remote, local = _stored(s, d, path), Store(s, other)
+        pull(remote, local, DS, table(s, d, "access_entries").select("input", F.col("seq").alias("ord")))
+        return durable(local.results(DS).select("input", "result_id"))
+
+
+@query(f"SELECT input, min(bucket) AS bucket FROM (SELECT {_t('input')} AS input, CASE bucket WHEN 'lake-public' THEN 'a' ELSE 'b' END AS bucket FROM stored_results WHERE bucket IN ('lake-public', 'lake-private') AND {_t('input')} IS NOT NULL) GROUP BY input")
+def store_push(s, d):
+    """A key in both buckets goes as public only."""
+    with _scratch(s) as path, _scratch(s) as other:
+        local, remote = Store(s, path), Store(s, other)
+        for bucket in ("public", "private"):
+            local.write(DatasetId(bucket, "m", "v"), table(s, d, "stored_results").where(F.col("bucket") == f"lake-{bucket}").select(F.col("result_id").alias("ord"), "input"))
+        push(local, remote, "m", "v")
+        parts = [remote.results(DatasetId(b, "m", "v")).select("input", F.lit(t).alias("bucket")) for b, t in (("public", "a"), ("private", "b"))]
+        return durable(parts[0].unionByName(parts[1]))
+
+
+@query(f"SELECT count(*)::BIGINT AS rows_dumped FROM {_WRITTEN}")
+def store_dump(s, d):
+    with _scratch(s) as path, _scratch(s) as other:
+        _stored(s, d, path).files.dump(DS.bucket, f"{other}/dump")
+        return durable(Store(s, f"{other}/dump").results(DS).agg(F.count("*").alias("rows_dumped")))
+
+
+@query("SELECT result_id::VARCHAR AS result_id, coalesce(input, '') AS input, coalesce(model_id, '') AS model_id FROM stored_results")
+def csv_roundtrip(s, d):
+    """Rows out to CSV files and in again, nulls as empty strings."""
+    with _scratch(s) as path:
+        write_results(table(s, d, "stored_results").select("result_id", "input", "model_id"), f"{path}/csv")
+        return durable(read_results(s, f"{path}/csv"))
+
+
+@query(f"SELECT input, tranche_row AS row, tranche_col AS col FROM {_INDEX}")
+def json_index_files(s, d):
+    with _scratch(s) as path:
+        json_sidecars.write_index(_index(s, d).withColumnsRenamed({"tranche_row": "row", "tranche_col": "col"}), f"{path}/index")
+        return durable(json_sidecars.read_index(s, f"{path}/index"))
+
+
+@query(f"SELECT {_t('input')} AS input, access FROM access_entries WHERE access IS NOT NULL AND input IS NOT NULL")
+def json_access_files(s, d):
+    with _scratch(s) as path:
+        table(s, d, "access_entries").where("access is not null and input is not null").select("input", "access").write.json(f"{path}/access")
+        return durable(json_sidecars.read_access(s, f"{path}/access").select("input", "access"))
 
 
 # -- nearest neighbours and packing ------------------------------------------------------------
@@ -411,10 +556,15 @@ def ann_cells_top1(s, d):
     return nearest.CellIndex(v).top1(v.where("id % 100 = 0"))
 
 
-@query()
+_GRAMS = "list_distinct(list_transform(range(1, length(input) + 3), i -> substr(chr(2) || chr(2) || input || chr(3) || chr(3), i, 3)))"
+_STORED_KEYS = f"(SELECT input, {_GRAMS} AS grams FROM (SELECT DISTINCT {_t('input')} AS input FROM stored_results) WHERE input IS NOT NULL)"
+_ASKED_KEYS = f"(SELECT input, {_GRAMS} AS grams FROM (SELECT DISTINCT {_t('input')} AS input FROM access_entries WHERE seq % 100 = 0) WHERE input IS NOT NULL)"
+
+
+@query(f"SELECT input, neighbour, round(common / (n + m - common), 6) AS similarity FROM (SELECT a.input, b.input AS neighbour, len(list_intersect(a.grams, b.grams))::DOUBLE AS common, len(a.grams) AS n, len(b.grams) AS m FROM {_ASKED_KEYS} a, {_STORED_KEYS} b) QUALIFY row_number() OVER (PARTITION BY input ORDER BY common / (n + m - common) DESC, neighbour) = 1")
 def ann_key_neighbour(s, d):
     asked = table(s, d, "access_entries").where("seq % 100 = 0").select(blank_to_null(F.col("input")).alias("input"))
-    return nearest_keys(_rows(s, d), asked)
+    return nearest_keys(_rows(s, d), asked).withColumn("similarity", F.round("similarity", 6))
 
 
 _FEATURES = ["f1", "f2"]
@@ -422,7 +572,7 @@ _FEATURES = ["f1", "f2"]
 
 @query(f"SELECT result_id, f1 FROM stored_results WHERE {_t('input')} IS NOT NULL")
 def features_packed_column(s, d):
-    return packing.unpack(packing.pack(_rows(s, d, *_FEATURES), _FEATURES), _FEATURES, wanted=["f1"]).drop("input")
+    return packing.unpack(durable(packing.pack(_rows(s, d, *_FEATURES), _FEATURES)), _FEATURES, wanted=["f1"]).drop("input")
 
 
 @query("SELECT vec_id, embedding[1]::DOUBLE AS v0, embedding[64]::DOUBLE AS v63 FROM embeddings")

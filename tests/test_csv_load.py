@@ -85,3 +85,17 @@ def test_files_of_keys_alone(spark):
     rows = body(1, "input,a", ["C1,1", "C2,2"]) + body(2, "smiles", ["C1", "C3"]) + body(3, "input", ["C1"]) + body(4, "input,smiles", ["C1,C1"])
     out = {(r.file_id, r.key): r.fields for r in history(spark, files, rows).unified().collect()}
     assert out == {(1, "C1"): {"a": "1.0"}, (1, "C2"): {"a": "2.0"}, (2, "C1"): {"a": None}, (2, "C3"): {"a": None}, (3, "C1"): {}, (4, "C1"): {}}
+
+
+def test_merged_fields_and_equal_last_names(spark):
+    files = [(i, "b", "m", "v", i) for i in range(1, 5)]
+    same = [f"C{k},{k},{k}" for k in range(4)]
+    rows = body(1, "input,a,b", same) + body(2, "input,c", [f"C{k},{k}" for k in range(4)])
+    # later a new field is called a again, and then renamed to c while the first c has gone
+    rows += body(3, "input,a,x", [f"C{k},9{k},t" for k in range(4)]) + body(4, "input,c,x", [f"C{k},9{k},t" for k in range(4)])
+    h = history(spark, files, rows)
+    assert changes(h) == {(2, "c", "renamed"), (3, "c", "removed"), (3, "a", "added"), (3, "x", "added"), (4, "c", "renamed")}
+    out = {(r.file_id, r.key): r.fields for r in h.unified().collect()}
+    assert len(out) == 16 and out[1, "C1"]["c"] == "1.0" and out[1, "C1"]["b"] == "1.0" and out[2, "C1"]["b"] is None
+    drops = {(r.file_id, r.field_name, r.argument) for r in h.migrations().collect() if r.rule == "drop"}
+    assert drops == {(2, "b", "equal to c"), (3, "c", None)}

@@ -5,7 +5,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from keystrata.sources.repair import _copy, _symbols, cheapest_edits, parse, zero_cost
+from keystrata.sources.repair import _copy, _symbols, cheapest_edits, free_cost, parse, zero_cost
 
 
 def apply(raw, edits):
@@ -44,6 +44,23 @@ def test_edits_repair(raw, n):
     assert (edits == "") == (own is not None and len(own) == n)
 
 
+@settings(max_examples=300, deadline=None)
+@given(st.text(alphabet='ab,"\n', max_size=10))
+def test_free_cost_is_the_least_over_all_numbers_of_cells(raw):
+    """The reason rests on it: no edits but those of the cheapest parse into any number of cells."""
+    symbols = _symbols(raw)
+    cost, cells = free_cost(symbols)
+    edits = [e for n in range(1, len(raw) + 3) if (e := cheapest_edits(symbols, n)) is not None]
+    assert cost == min(len(e.split("; ")) if e else 0 for e in edits) and (cost == 0) == (cells is not None)
+
+
+def test_wide_broken_record():
+    raw = ",".join(['"a"'] * 2047 + ['"b'])
+    cells, _, reason, edits = parse(raw, 2048)
+    assert (cells, reason, len(edits.split("; "))) == (None, "quoting", 1)
+    assert len(zero_cost(_symbols(apply(raw, edits)))) == 2048
+
+
 @settings(max_examples=200, deadline=None)
 @given(st.lists(st.text(alphabet='ab,"\n \\', max_size=6), min_size=2, max_size=5))
 def test_round_trip(cells):

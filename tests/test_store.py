@@ -2,10 +2,12 @@ import pytest
 
 from keystrata.functions.grid import SuppliedDescriptors, bin_right_closed
 from keystrata.operators.chunks import chunk_no, with_ordinal
-from keystrata.operators.lookup import MissingInputs
+from keystrata.operators.lookup import MissingInputs, lookup, push_keys
+from keystrata.plans.joins import measured_bytes, sized_join
+from keystrata.plans.session import shared_dir
 from keystrata.sources import csv_io, json_sidecars
 from keystrata.sources.layout import DatasetId, DatasetNotFound, file_counts
-from keystrata.store import SchemaMismatch, Store
+from keystrata.store import SchemaMismatch, Store, UnmatchedAccess
 from keystrata.streaming.ingest import ingest
 from keystrata.sync import pull, push
 from pyspark.sql import functions as F
@@ -55,6 +57,62 @@ def test_ordered_read(spark, store):
         store.read(DatasetId("proj", "m", "v9"), wanted(spark, ["a"]))
 
 
+def test_a_full_cell_is_written_by_several_tasks(spark, tmp_path):
+    s = Store(spark, str(tmp_path), max_rows=1_000)
+    assert stats(s.write(DS, spark.range(20_000).selectExpr("concat('k', id) input", "id f"))) == (20_000, 0, 0, 0)
+    files = file_counts(s.results(DS)).collect()
+    assert len(files) >= 20 and max(r.n for r in files) <= 1_000
+    assert "/row=2/" in files[0].file and s.read(DS, spark.range(20_000).selectExpr("id ord", "concat('k', 19999 - id) input")).count() == 20_000
+
+
+def test_equal_orders_keep_one_row(spark, store):
+    d = spark.createDataFrame([(1, "a", "x"), (1, "a", "y"), (0, "b", "z"), (1, "b", "q")], "ord long, input string, f string")
+    assert stats(store.write(DS, d)) == (2, 2, 0, 0)
+    assert {r.f for r in store.results(DS).where("input = 'b'").collect()} == {"z"}
+
+
+def test_long_lists_of_keys_are_filtered_too(spark):
+    d = spark.range(2_000).selectExpr("cast(id as string) input")
+    for n in (3, 300):
+        assert push_keys(d, [str(i) for i in range(n)]).count() == n
+    assert push_keys(d, []).count() == 0
+
+
+def test_null_and_repeated_ordinals(spark):
+    d = spark.createDataFrame([("a", 1), ("b", 2)], "input string, f int")
+    w = spark.createDataFrame([(None, "a"), (5, "a"), (5, "a"), (9, "c"), (1 << 40, "b")], "ord long, input string")
+    assert sorted(lookup(d, w).collect(), key=str) == sorted([(None, "a", 1), (5, "a", 1), (5, "a", 1), (1 << 40, "b", 2)], key=str)
+
+
+def test_measured_bytes_is_an_upper_bound(spark):
+    d = spark.range(100).selectExpr("array_repeat(id, 2048) a", "cast(id as string) s", "map('k', array('x')) m", "named_struct('q', id, 'r', cast(null as string)) t", "id")
+    assert measured_bytes(d) >= 100 * 2048 * 8
+    assert measured_bytes(d.limit(0)) == 0
+    assert sized_join(spark.range(10), spark.range(5), "id", limit=0).count() == 5
+
+
+def test_write_needs_an_access_on_the_command_line(tmp_path):
+    from keystrata import cli
+
+    with pytest.raises(SystemExit):
+        cli.parser().parse_args(["--root", str(tmp_path), "write", "-b", "p", "-m", "m", "--input", "x.csv"])
+
+
+def test_no_shared_folder_on_a_cluster():
+    class Context:
+        master = "spark://somewhere:7077"
+
+        def getCheckpointDir(self):
+            return None
+
+    class Session:
+        sparkContext = Context()
+        conf = type("C", (), {"get": staticmethod(lambda *a: None)})
+
+    with pytest.raises(RuntimeError):
+        shared_dir(Session())
+
+
 def test_approximate_read(spark, store):
     store.write(DS, rows(spark, [("CCOCC", "1"), ("NNNN", "2")]))
     assert [(r.input, r.f1) for r in store.read(DS, wanted(spark, ["NNN", "CCOC"]), approximate=True).collect()] == [("NNNN", "2"), ("CCOCC", "1")]
@@ -81,7 +139,12 @@ def test_copy_move_remove(spark, store):
     assert [(r.input, r.bucket) for r in store.list_available("m", "v1").orderBy("input").collect()] == [("a", "public"), ("b", "private")]
     with pytest.raises(ValueError):
         store.move(DatasetId("public", "m", "v1"))
-    assert store.move(DS) == (0, 0) and not store.has(DS)
+    with pytest.raises(UnmatchedAccess):
+        store.move(DS)  # c and d have no target: nothing is lost
+    assert store.results(DS).count() == 4 and {r.input for r in store.unmatched(DS).collect()} == {"c", "d"}
+    store._append_access(DS, spark.createDataFrame([("c", "public"), ("d", "private")], "input string, access string"))
+    assert store.move(DS) == (1, 1) and not store.has(DS)
+    assert {(r.input, r.bucket) for r in store.list_available("m", "v1").collect()} == {("a", "public"), ("b", "private"), ("c", "public"), ("d", "private")}
     with pytest.raises(ValueError):
         store.remove(DatasetId("public", "m", "v1"))
     assert store.remove(DatasetId("public", "m", "v1"), confirm=True) > 0
