@@ -70,61 +70,54 @@ class Shard:
         self.padded = np.concatenate([symbols, np.zeros(depth, symbols.dtype)])
         self.order, _ = suffix_array(symbols, depth)
 
-    def _below(self, queries: np.ndarray, lengths: np.ndarray, equal: bool) -> np.ndarray:
-        """For each query the number of suffixes smaller than it (or, with `equal`, not larger over its length)."""
-        lo, hi = np.zeros(len(queries), np.int64), np.full(len(queries), len(self.order), np.int64)
-        cols = np.arange(queries.shape[1])
-        inside = cols[None, :] < lengths[:, None]
+    def _below(self, text: np.ndarray, starts: np.ndarray, length: int, equal: bool) -> np.ndarray:
+        """For the `length` symbols from each start in `text` the number of suffixes smaller than these (or, with `equal`, not larger)."""
+        lo, hi = np.zeros(len(starts), np.int64), np.full(len(starts), len(self.order), np.int64)
+        cols = np.arange(length)
         while True:
             open_ = np.flatnonzero(lo < hi)
             if not len(open_):
                 return lo
             mid = (lo[open_] + hi[open_]) // 2
-            text = self.padded[self.order[mid][:, None] + cols]
-            diff = np.where(inside[open_], text - queries[open_], 0)
+            diff = self.padded[self.order[mid][:, None] + cols] - text[starts[open_][:, None] + cols]
             first = np.argmax(diff != 0, axis=1)
             sign = diff[np.arange(len(open_)), first]
             smaller = (sign < 0) | (equal & (sign == 0))
             lo[open_[smaller]] = mid[smaller] + 1
             hi[open_[~smaller]] = mid[~smaller]
 
-    def matches(self, queries: np.ndarray, lengths: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(query, place, run): every place that shares at least `least` symbols with a query, and how many it shares."""
-        if not len(self.order) or not len(queries):
+    def matches(self, text: np.ndarray, starts: np.ndarray, ends: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(query, place, run): every place that shares at least `least` symbols with the stretch of `text` from a start to its end, and how many it shares."""
+        if not len(self.order) or not len(starts):
             return (np.zeros(0, np.int64),) * 3
-        short = np.full(len(queries), least)
-        lo, hi = self._below(queries, short, False), self._below(queries, short, True)
+        lo, hi = self._below(text, starts, least, False), self._below(text, starts, least, True)
         n = hi - lo
-        q = np.repeat(np.arange(len(queries)), n)
+        q = np.repeat(np.arange(len(starts)), n)
         place = self.order[np.repeat(lo - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())]
-        run = np.zeros(len(q), np.int64)
-        for a in range(0, len(q), 1 << 16):
-            part = slice(a, a + (1 << 16))
-            cols = np.arange(queries.shape[1])
-            differs = (self.padded[place[part][:, None] + cols] != queries[q[part]]) | (cols[None, :] >= lengths[q[part]][:, None])
-            run[part] = np.where(differs.any(axis=1), differs.argmax(axis=1), queries.shape[1])
+        run, same = np.full(len(q), least), np.arange(len(q))
+        while len(same):  # one symbol further for all that still agree
+            at = starts[q[same]] + run[same]
+            same, at = same[at < ends[q[same]]], at[at < ends[q[same]]]
+            same = same[self.padded[np.minimum(place[same] + run[same], len(self.padded) - 1)] == text[at]]
+            run[same] += 1
         return q, place, run
 
 
 class Passages:
-    """Word numbers of the evaluation passages and all their suffixes of at least `least` words."""
+    """Word numbers of the evaluation passages, one after the other, and where their suffixes of at least `least` words begin and end."""
 
     def __init__(self, items: list[tuple[int, str | None]], least: int = LEAST):
         self.least = least
         lists = [(i, words(p)) for i, p in items]
         lists = [(i, w) for i, w in lists if len(w) >= least]
         self.number = {w: k + 1 for k, w in enumerate(sorted({x for _, ws in lists for x in ws}))}
-        self.depth = max((len(w) for _, w in lists), default=least)
-        item, at, rows = [], [], []
-        for i, ws in lists:
-            numbers = [self.number[x] for x in ws]
-            for a in range(len(ws) - least + 1):
-                item.append(i)
-                at.append(a)
-                rows.append(numbers[a:] + [-1] * (self.depth - len(ws) + a))
-        self.item, self.at = np.array(item, np.int64), np.array(at, np.int64)
-        self.suffixes = np.array(rows, np.int32).reshape(-1, self.depth)
-        self.lengths = (self.suffixes >= 0).sum(axis=1)
+        self.text = np.array([self.number[x] for _, ws in lists for x in ws], np.int32)
+        lengths = np.array([len(w) for _, w in lists], np.int64)
+        begins = np.cumsum(lengths) - lengths
+        counts = lengths - least + 1
+        self.at = np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
+        self.item = np.repeat(np.array([i for i, _ in lists], np.int64), counts)
+        self.starts, self.ends = np.repeat(begins, counts) + self.at, np.repeat(begins + lengths, counts)
 
     def runs(self, text: str | None) -> tuple[list[int], list[int]]:
         """Word numbers and word positions of the runs of passage words in a text, 0 after each run."""
@@ -144,8 +137,8 @@ class Passages:
 
     def search(self, symbols: list[int], owner: list[int], places: list[int]) -> pd.DataFrame:
         """(owner, item_id, words, word_at, passage_at): the longest run of each item in each owner."""
-        shard = Shard(np.array(symbols, np.int32), np.array(owner, np.int64), max(self.depth, self.least))
-        q, place, run = shard.matches(self.suffixes, self.lengths, self.least)
+        shard = Shard(np.array(symbols, np.int32), np.array(owner, np.int64), self.least)
+        q, place, run = shard.matches(self.text, self.starts, self.ends, self.least)
         found = pd.DataFrame({"owner": shard.owner[place], "item_id": self.item[q], "words": run, "word_at": np.array(places, np.int64)[place], "passage_at": self.at[q]})
         return found.sort_values(["owner", "item_id", "words", "word_at", "passage_at"], ascending=[True, True, False, True, True]).drop_duplicates(["owner", "item_id"])
 

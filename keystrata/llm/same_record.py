@@ -5,9 +5,10 @@ unordered node's children are sorted and hashed together, those of an ordered on
 order. Records of equal root digest are one group, confirmed by comparing the whole normalised
 structure with the group's first record; equal roots of unequal structure stop the job.
 
-Everything runs as built-in expressions. Copies are counted before the shuffle (partial
-aggregation), so a record that makes up a third of all rows sends one row per task; the join
-back to the rows has one row per group on its other side, so AQE may split a hot group.
+Everything runs as built-in expressions. Digests are computed once and kept; copies are counted
+before the shuffle (partial aggregation), so a record that makes up a third of all rows sends one
+row per task. Structures are compared for the records of repeated digests only; every join back
+to the rows has one row per group on its other side, so AQE may split a hot group.
 
 Defined cases: null and blank bodies are no record; a body of blank pieces only is the record
 without fields; a piece without `=` or `:` is a field without value; a repeated field counts as
@@ -23,6 +24,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from keystrata.functions.text import is_blank, letters_digits, trim_unicode
+from keystrata.plans.joins import sized_join
+from keystrata.plans.session import durable
 
 _QUOTES = "\\\"'`“”‘’«»"
 _NUMBER = r"\A[+-]?[0-9]++(?:\.[0-9]++)?(?:[eE][+-]?[0-9]++)?\z"
@@ -31,15 +34,11 @@ _NUMBER = r"\A[+-]?[0-9]++(?:\.[0-9]++)?(?:[eE][+-]?[0-9]++)?\z"
 def fields(body: Column) -> Column:
     """The fields of a body as an array of (name, value), both normalised."""
 
-    def field(piece: Column) -> Column:
-        name = letters_digits(F.regexp_extract(piece, r"(?s)\A([^=:]*+)", 1))
-        name = F.when(name == "smiles", F.lit("input")).otherwise(name)
-        value = F.regexp_extract(piece, r"(?s)\A[^=:]*+[=:](.*)\z", 1)
-        rest = F.regexp_replace(value, rf"(?U)[\s{_QUOTES}]++", "")
-        exact = (name == "input") | rest.rlike(_NUMBER)
-        return F.struct(name.alias("name"), F.when(exact, F.lower(rest)).otherwise(letters_digits(value)).alias("value"))
-
-    return F.transform(F.filter(F.split(body, "[;|\n]", -1), lambda p: trim_unicode(p) != ""), field)
+    # Each step is a transform of its own, as a lambda evaluates an expression as often as it names it.
+    pieces = F.filter(F.split(body, "[;|\n]", -1), lambda p: trim_unicode(p) != "")
+    parted = F.transform(pieces, lambda p: F.struct(letters_digits(F.regexp_extract(p, r"(?s)\A([^=:]*+)", 1)).alias("name"), F.regexp_extract(p, r"(?s)\A[^=:]*+[=:](.*)\z", 1).alias("value")))
+    named = F.transform(parted, lambda x: F.struct(F.when(x["name"] == "smiles", "input").otherwise(x["name"]).alias("name"), x["value"].alias("value"), F.regexp_replace(x["value"], rf"(?U)[\s{_QUOTES}]++", "").alias("rest")))
+    return F.transform(named, lambda x: F.struct(x["name"].alias("name"), F.when((x["name"] == "input") | x["rest"].rlike(_NUMBER), F.lower(x["rest"])).otherwise(letters_digits(x["value"])).alias("value")))
 
 
 def digest(c: Column, kind: T.DataType, leaf: Callable[[Column], Column] = lambda c: c, ordered: bool = False) -> Column:
@@ -70,19 +69,25 @@ def records(rows: DataFrame, rec_id: str = "rec_id", body: str = "body") -> Data
 
 
 def groups(recs: DataFrame) -> DataFrame:
-    """(root, copies, first): number of copies and first record (rec_id, whole) of every root digest."""
-    return recs.groupBy("root").agg(F.count("*").alias("copies"), F.min(F.struct("rec_id", "whole")).alias("first"))
+    """(root, copies, first_id): number of copies and first record of every root digest."""
+    return recs.groupBy("root").agg(F.count("*").alias("copies"), F.min("rec_id").alias("first_id"))
 
 
 def copies(rows: DataFrame) -> DataFrame:
     """(first_id, rec_id): every record that repeats one of lower rec_id, with the first of its kind."""
-    recs = records(rows)
-    several = groups(recs).where(F.col("copies") > 1)
-    hit = recs.join(several, "root").where(F.col("rec_id") != F.col("first.rec_id"))
-    sure = F.when(F.col("whole") == F.col("first.whole"), F.col("first.rec_id")).otherwise(F.raise_error(F.lit("two records of one root digest differ")).cast("long"))
+    recs = durable(records(rows).select("rec_id", F.unhex("root").alias("root")))
+    several = durable(groups(recs).where(F.col("copies") > 1).select("root", "first_id"))
+    members = durable(sized_join(recs, several, "root").select("rec_id").distinct())
+    given = rows.select(F.col("rec_id").alias("rec_id"), F.col("body").alias("body"))
+    again = sized_join(records(sized_join(given, members, "rec_id", "left_semi")).withColumn("root", F.unhex("root")), several, "root")
+    firsts = again.where(F.col("rec_id") == F.col("first_id")).groupBy("root").agg(F.min("whole").alias("first"))
+    hit = again.where(F.col("rec_id") != F.col("first_id")).join(firsts, "root")
+    sure = F.when(F.col("whole") == F.col("first"), F.col("first_id")).otherwise(F.raise_error(F.lit("two records of one root digest differ")).cast("long"))
     return hit.select(sure.alias("first_id"), "rec_id").distinct()
 
 
 def collapsed(rows: DataFrame) -> DataFrame:
     """(first_id, copies, record): one row per distinct record."""
-    return groups(records(rows)).select(F.col("first.rec_id").alias("first_id"), "copies", F.col("first.whole").alias("record"))
+    recs = durable(records(rows))
+    wholes = recs.select("root", F.col("rec_id").alias("first_id"), F.col("whole").alias("record"))
+    return groups(recs).join(wholes, ["root", "first_id"]).select("first_id", "copies", "record").distinct()
