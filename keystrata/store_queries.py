@@ -441,10 +441,11 @@ def _moved(s, d, path: str) -> Store:
     return store
 
 
-_TO = f"SELECT input, result_id, '{{0}}' AS bucket FROM {_WRITTEN} WHERE input IN (SELECT input FROM {_ACCESS} WHERE access = '{{0}}')"
+def _to(kind: str) -> str:
+    return f"SELECT input, result_id, '{kind}' AS bucket FROM {_WRITTEN} WHERE input IN (SELECT input FROM {_ACCESS} WHERE access = '{kind}')"
 
 
-@query(f"{_TO.format('public')} UNION ALL {_TO.format('private')}")
+@query(f"{_to('public')} UNION ALL {_to('private')}")
 def store_copy(s, d):
     with _scratch(s) as path:
         store = _moved(s, d, path)
