@@ -65,7 +65,7 @@ def run(argv: list[str] | None = None) -> int:
     elif a.command == "read":
         write_results(store.read(ds, read_wanted(spark, a.input), approximate=a.approximate, strict=not a.lenient), a.output, single=True)
     elif a.command == "copy":
-        print("private %d, public %d" % store.copy(ds, a.output))
+        print("private %d, public %d" % store.copy(ds, a.output, neighbours=True))
     elif a.command == "move":
         print("private %d, public %d" % store.move(ds))
     elif a.command == "remove":
@@ -77,7 +77,7 @@ def run(argv: list[str] | None = None) -> int:
         found = store.catalog(a.bucket, a.filter)
         write_results(found, a.output, single=True) if a.output else found.show(max(1, found.count()), False)
     elif a.command == "pull":
-        print(pull(Store(spark, a.remote), store, ds, read_wanted(spark, a.input)))
+        print(pull(Store(spark, a.remote), store, ds, read_wanted(spark, a.input), neighbours=True))
     elif a.command == "push":
         print(push(store, Store(spark, a.remote), a.model, a.version))
     return 0

@@ -13,6 +13,7 @@ import json
 import time
 from collections.abc import Iterable
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -21,7 +22,9 @@ from pyspark.sql import types as T
 from keystrata.functions.grid import OneCell, place
 from keystrata.operators import access as acc
 from keystrata.operators import buckets, key_neighbour, lookup
-from keystrata.operators.keys import first_wins, key_of, unseen, with_key
+from keystrata.operators.keys import first_wins, key_of, present, unseen, with_key
+from keystrata.operators.nearest import CellIndex
+from keystrata.plans.joins import sized_join
 from keystrata.plans.session import durable
 from keystrata.sources.layout import DatasetId, DatasetNotFound, Files
 
@@ -102,15 +105,44 @@ class Store:
         """Stored rows of the wanted keys, in request order and multiplicity.
 
         A missing key fails the read unless `strict` is off; `approximate` takes each key's nearest
-        stored key first, so that none is missing.
+        stored key first, so that none is missing: by the dataset's neighbour index if it has one,
+        else by scoring all stored keys.
         """
         store, asked = self.results(ds).drop("row", "col"), self.wanted(wanted)
         if approximate:
-            near = key_neighbour.nearest_keys(store, asked)
+            index = self._neighbours(ds)
+            near = key_neighbour.nearest_keys(store, asked) if index is None else self._nearest(index, store, asked)
             asked = asked.join(near, "input").select("ord", F.col("neighbour").alias("input"))
         found = (lookup.strict_lookup if strict and not approximate else lookup.lookup)(store, asked, columns=columns)
         return lookup.ordered(found, "input").drop("ord")
 
+    def _neighbours(self, ds: DatasetId) -> CellIndex | None:
+        path = f"{ds.path}/neighbours"
+        return CellIndex.open(self.spark, self.files.full(path)) if self.files.exists(f"{path}/centres/_SUCCESS") else None
+
+    @staticmethod
+    def _nearest(index: CellIndex, store: DataFrame, asked: DataFrame) -> DataFrame:
+        """(input, neighbour): a stored key is its own neighbour; the index finds that of the others."""
+        mine = durable(asked.select("input").distinct())
+        held = durable(present(mine, store))
+        others = durable(key_neighbour.vectors(mine.join(held, "input", "left_anti")))
+        found = durable(index.top1(others))
+        keys = sized_join(store.select("input", F.xxhash64("input").alias("id")), found.select("id").distinct(), "id").distinct()
+        near = others.select(F.col("id").alias("query_id"), "input").join(found, "query_id").join(keys.withColumnRenamed("input", "neighbour"), "id")
+        rest = others.join(found.select(F.col("query_id").alias("id")), "id", "left_anti")
+        parts = [near, held.select("input", F.col("input").alias("neighbour")), key_neighbour.nearest_keys(store, rest)]
+        return reduce(DataFrame.unionByName, [p.select("input", "neighbour") for p in parts])
+
+    def index_neighbours(self, ds: DatasetId) -> None:
+        """Inserts the stored keys that the dataset's neighbour index lacks; the first time it is fitted."""
+        index = self._neighbours(ds)
+        rows = durable(key_neighbour.vectors(self.results(ds)).select("id", "vector"))
+        if index is None:
+            cells = max(16, int(rows.count() ** 0.5) // 16)
+            CellIndex(rows, cells=cells).save(self.files.full(f"{ds.path}/neighbours"))
+        else:
+            index.insert(rows)
+
     def list_available(self, model: str, version: str, bucket_names: Iterable[str] | None = None) -> DataFrame:
         """(input, bucket): the first bucket in the order given wins, by default public before private."""
         return buckets.listed(self._keys(model, version, bucket_names))
@@ -199,13 +231,15 @@ class Store:
     def _targets(self, ds: DatasetId) -> list[tuple[str, DatasetId]]:
         return [("private", DatasetId(self.private, ds.model, ds.version)), ("public", DatasetId(self.public, ds.model, ds.version))]
 
-    def copy(self, ds: DatasetId, dump_to: str | None = None) -> tuple[int, int]:
-        """(private, public): rows newly copied to the two default buckets by their access; with `dump_to` the bucket is copied there too."""
+    def copy(self, ds: DatasetId, dump_to: str | None = None, neighbours: bool = False) -> tuple[int, int]:
+        """(private, public): rows newly copied to the two default buckets by their access; with `dump_to` the bucket is copied there too, with `neighbours` the new keys enter the targets' neighbour indexes."""
         entries, store = acc.cleaned(self.access(ds)), self.results(ds)
         done = {}
         for kind, target in self._targets(ds):
             if target != ds:
                 done[kind] = self.write(target, acc.split(store, entries, kind), access=kind).new
+                if done[kind] and neighbours:
+                    self.index_neighbours(target)
         if dump_to:
             self.files.dump(ds.bucket, dump_to)
         return done.get("private", 0), done.get("public", 0)

@@ -557,6 +557,16 @@ def ann_cells_top1(s, d):
     return nearest.CellIndex(v).top1(v.where("id % 100 = 0"))
 
 
+@query()
+def ann_saved_cells_top1(s, d):
+    """The index kept in a folder: fitted on half of the rows, the others inserted, only the probed cells read."""
+    v = _vectors(s, d)
+    with _scratch(s) as path:
+        index = nearest.CellIndex(v.where("id % 2 = 0")).save(path)
+        index.insert(v)
+        return durable(nearest.CellIndex.open(s, path).top1(v.where("id % 100 = 0")))
+
+
 _GRAMS = "list_distinct(list_transform(range(1, length(input) + 3), i -> substr(chr(2) || chr(2) || input || chr(3) || chr(3), i, 3)))"
 _STORED_KEYS = f"(SELECT input, {_GRAMS} AS grams FROM (SELECT DISTINCT {_t('input')} AS input FROM stored_results) WHERE input IS NOT NULL)"
 _ASKED_KEYS = f"(SELECT input, {_GRAMS} AS grams FROM (SELECT DISTINCT {_t('input')} AS input FROM access_entries WHERE seq % 100 = 0) WHERE input IS NOT NULL)"

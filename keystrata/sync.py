@@ -11,8 +11,8 @@ from keystrata.sources.layout import DatasetId, DatasetNotFound
 from keystrata.store import Store, WriteStats
 
 
-def pull(remote: Store, local: Store, ds: DatasetId, wanted: DataFrame) -> WriteStats:
-    """Copies the wanted rows the local store lacks, with their newest access."""
+def pull(remote: Store, local: Store, ds: DatasetId, wanted: DataFrame, neighbours: bool = False) -> WriteStats:
+    """Copies the wanted rows the local store lacks, with their newest access; with `neighbours` their keys enter the local neighbour index."""
     asked = local.wanted(wanted).groupBy("input").agg(F.min("ord").alias("ord"))
     if local.has(ds):
         asked = acc.delta(asked, local.results(ds))
@@ -21,6 +21,8 @@ def pull(remote: Store, local: Store, ds: DatasetId, wanted: DataFrame) -> Write
     listed = acc.latest(remote.access(ds)).join(asked.select("input"), "input", "left_semi").select("input", "access")
     if stats.new and listed.limit(1).count():
         local._append_access(ds, listed)
+    if stats.new and neighbours:
+        local.index_neighbours(ds)
     return stats
 
 

@@ -1,3 +1,5 @@
+import re
+
 import numpy as np
 
 from keystrata.operators.key_neighbour import grams, nearest_keys
@@ -54,3 +56,28 @@ def test_key_without_common_grams(spark):
     got = {tuple(r) for r in nearest_keys(df("CCO", "CCN", "BBB"), df("CCO", "zq#", "B")).collect()}
     assert {(a, b) for a, b, _ in got} == {("CCO", "CCO"), ("zq#", "BBB"), ("B", "BBB")} and ("zq#", "BBB", 0.0) in got
     assert nearest_keys(df("CCO").limit(0), df("CCO")).count() == 0
+
+
+def test_saved_index_reads_probed_cells_and_takes_new_rows(spark, tmp_path):
+    rng = np.random.default_rng(4)
+    data = [(i, v.tolist()) for i, v in enumerate(rng.normal(size=(600, 8)))]
+    df = spark.createDataFrame(data, "id long, vector array<double>")
+    index = CellIndex(df.where("id < 400"), cells=12).save(str(tmp_path / "i"))
+    index.insert(df)
+    index.insert(df.limit(5))  # known ids are not added again
+    index = CellIndex.open(spark, str(tmp_path / "i"))
+    assert index.rows.count() == 600
+    asked = df.where("id % 3 = 0")
+    got = {r.query_id: r.id for r in index.top1(asked).collect()}
+    want = {r.query_id: r.id for r in exact_top1(df, asked).collect()}
+    assert sum(got.get(q) == i for q, i in want.items()) / len(want) >= 0.9
+    assert index._cells([1, 2]).select("cell").distinct().count() == 2
+    assert re.search(r"PartitionFilters: \[[^]]*cell", index._cells([1, 2])._jdf.queryExecution().toString())
+
+
+def test_small_score_blocks_give_the_same(spark, monkeypatch):
+    from keystrata.operators import nearest
+
+    x, df = vectors(spark, n=200)
+    monkeypatch.setattr(nearest, "SCORES", 64)
+    assert {r.query_id: r.id for r in exact_top1(df, df.where("id < 40")).collect()} == brute(x, list(range(40)))

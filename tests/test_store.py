@@ -118,6 +118,16 @@ def test_approximate_read(spark, store):
     assert [(r.input, r.f1) for r in store.read(DS, wanted(spark, ["NNN", "CCOC"]), approximate=True).collect()] == [("NNNN", "2"), ("CCOCC", "1")]
 
 
+def test_approximate_read_by_the_neighbour_index(spark, store):
+    keys = ["".join("CNO"[(i // 3**j) % 3] for j in range(6)) for i in range(300)]
+    store.write(DS, rows(spark, [(k, k) for k in keys[:200]]))
+    store.index_neighbours(DS)
+    store.write(DS, rows(spark, [(k, k) for k in keys[200:]]))
+    store.index_neighbours(DS)
+    got = [(r.input, r.f1) for r in store.read(DS, wanted(spark, [keys[250], keys[3] + "C", keys[250]]), approximate=True).collect()]
+    assert len(got) == 3 and got[0] == got[2] == (keys[250], keys[250]) and got[1][0] in keys
+
+
 def test_bins(spark):
     d = spark.createDataFrame([(200.0,), (200.0001,), (500.0,), (500.0001,), (float("nan"),), (None,)], "x double")
     assert [r[0] for r in d.select(bin_right_closed(F.col("x"), (200, 500))).collect()] == [1, 2, 2, 3, 3, None]
