@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from keystrata.sources.layout import Files
+
 OPTIONS = {"header": True, "multiLine": True, "quote": '"', "escape": '"', "inferSchema": False, "encoding": "UTF-8"}
 
 
@@ -24,5 +26,14 @@ def read_wanted(spark: SparkSession, path: str) -> DataFrame:
 
 
 def write_results(df: DataFrame, path: str, single: bool = False) -> None:
-    """CSV with a header. `single` sends all rows through one task, for results of a size a user reads as one file."""
-    (df.coalesce(1) if single else df).write.mode("overwrite").csv(path, header=True, quote='"', escape='"', emptyValue="")
+    """CSV with a header, outer spaces kept. `single` sends all rows through one task into one file named `path`, for results of a size a user reads as one file."""
+    options = {"header": True, "quote": '"', "escape": '"', "emptyValue": "", "nullValue": "", "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
+    if not single:
+        df.write.mode("overwrite").csv(path, **options)
+        return
+    folder, _, name = path.rstrip("/").rpartition("/")
+    files, parts = Files(df.sparkSession, folder or "."), f"{name}.parts"
+    df.coalesce(1).write.mode("overwrite").csv(files.full(parts), **options)
+    files.delete(name)
+    files.rename(f"{parts}/{next(p for p in files.names(parts) if p.endswith('.csv'))}", name)
+    files.delete(parts)

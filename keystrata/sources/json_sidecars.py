@@ -27,7 +27,7 @@ def write_index(index: DataFrame, path: str) -> None:
     index.select(index_json(F.col("input"), F.col("row"), F.col("col")).alias("value")).write.mode("overwrite").text(path)
 
 
-def read_access(spark: SparkSession, path: str) -> DataFrame:
-    """(input, access, seq): `seq` falls from the newest entry on, as the file lists it first."""
-    rows = spark.read.schema("input string, access string").json(path, multiLine=True)
+def read_access(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
+    """(input, access, seq): `seq` falls from the newest entry on, as the file lists it first. With `lines` each line is an entry, and a file is read by several tasks."""
+    rows = spark.read.schema("input string, access string").json(path, multiLine=not lines)
     return rows.select(blank_to_null(F.col("input")).alias("input"), "access", (-F.monotonically_increasing_id()).alias("seq"))

@@ -53,6 +53,14 @@ class Files:
         p = self._path(rel)
         return sorted(s.getPath().getName() for s in self._fs.listStatus(p) if s.isDirectory()) if self._fs.exists(p) else []
 
+    def names(self, rel: str) -> list[str]:
+        """Names of the files directly in a folder."""
+        return sorted(s.getPath().getName() for s in self._fs.listStatus(self._path(rel)) if s.isFile())
+
+    def rename(self, rel: str, to: str) -> None:
+        if not self._fs.rename(self._path(rel), self._path(to)):
+            raise OSError(f"cannot rename {rel}")
+
     def listing(self, rel: str) -> list[tuple[str, int]]:
         """(path, length) of all files below."""
         out, p = [], self._path(rel)

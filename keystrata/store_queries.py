@@ -502,7 +502,7 @@ def store_push(s, d):
 @query(f"SELECT count(*)::BIGINT AS rows_dumped FROM {_WRITTEN}")
 def store_dump(s, d):
     with _scratch(s) as path, _scratch(s) as other:
-        _stored(s, d, path).files.dump(DS.bucket, f"{other}/dump")
+        _stored(s, d, path).files.dump(DS.bucket, f"{other}/dump/{DS.bucket}")
         return durable(Store(s, f"{other}/dump").results(DS).agg(F.count("*").alias("rows_dumped")))
 
 
@@ -525,7 +525,7 @@ def json_index_files(s, d):
 def json_access_files(s, d):
     with _scratch(s) as path:
         table(s, d, "access_entries").where("access is not null and input is not null").select("input", "access").write.json(f"{path}/access")
-        return durable(json_sidecars.read_access(s, f"{path}/access").select("input", "access"))
+        return durable(json_sidecars.read_access(s, f"{path}/access", lines=True).select("input", "access"))
 
 
 # -- nearest neighbours and packing ------------------------------------------------------------
@@ -567,7 +567,7 @@ def ann_saved_cells_top1(s, d):
         return durable(nearest.CellIndex.open(s, path).top1(v.where("id % 100 = 0")))
 
 
-_GRAMS = "list_distinct(list_transform(range(1, length(input) + 3), i -> substr(chr(2) || chr(2) || input || chr(3) || chr(3), i, 3)))"
+_GRAMS = "list_distinct(list_transform(range(1, length(input) + 3), lambda i: substr(chr(2) || chr(2) || input || chr(3) || chr(3), i, 3)))"
 _STORED_KEYS = f"(SELECT input, {_GRAMS} AS grams FROM (SELECT DISTINCT {_t('input')} AS input FROM stored_results) WHERE input IS NOT NULL)"
 _ASKED_KEYS = f"(SELECT input, {_GRAMS} AS grams FROM (SELECT DISTINCT {_t('input')} AS input FROM access_entries WHERE seq % 100 = 0) WHERE input IS NOT NULL)"
 

@@ -206,6 +206,9 @@ def test_csv_fixture(spark, tmp_path):
     assert [(r.input, r.f1, r.f2) for r in got] == [("C/C=C\\C", "1", ""), ("C\\\\", "2", "x"), (" CCO ", "3", 'a "q" b'), ("", "4", "y"), ("multi\nline", "5", "z"), ("short", "6", ""), ("T\\", "7,8", "w")]
     csv_io.write_results(spark.createDataFrame([("C\\", 'a "q"', "")], "input string, f string, g string"), str(tmp_path / "out"), single=True)
     assert csv_io.read_results(spark, str(tmp_path / "out")).first() == ("C\\", 'a "q"', "")
+    assert (tmp_path / "out").is_file()
+    csv_io.write_results(spark.createDataFrame([(" a ", None)], "input string, f string"), str(tmp_path / "many"))
+    assert csv_io.read_results(spark, str(tmp_path / "many")).first() == (" a ", "")
 
 
 def test_json_sidecars(spark, tmp_path):
