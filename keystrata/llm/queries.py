@@ -84,7 +84,8 @@ def p7_matches(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p7_clean(spark: SparkSession, d: str) -> DataFrame:
-    return leaks.cleaned(table(spark, d, "documents"), table(spark, d, "eval_items"))
+    kept = leaks.cleaned(table(spark, d, "documents"), table(spark, d, "eval_items"))
+    return kept.withColumns({c: F.coalesce(c, F.lit(-1)) for c in ("parent_id", "n_chars")})  # so that both engines give these columns one integer type
 
 
 def p8_found(spark: SparkSession, d: str) -> DataFrame:
@@ -102,4 +103,37 @@ def p8_sentences(spark: SparkSession, d: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (p2_found, p2_batches, p3_found, p3_error_rate, p4_found, p4_records, p6_ids, p7_found, p7_matches, p7_clean, p8_found, p8_amounts, p8_sentences)
 }
-ORACLES: dict[str, str] = {}
+_WS = r"[\x{09}-\x{0d}\x{20}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
+
+
+def _trimmed(c: str) -> str:
+    return f"regexp_replace(regexp_replace({c}, '^{_WS}+', ''), '{_WS}+$', '')"
+
+
+def _letters(c: str) -> str:
+    return f"lower(regexp_replace({c}, '[^\\p{{L}}\\p{{N}}]+', '', 'g'))"
+
+
+_PIECES = f"list_filter(regexp_split_to_array(body, '[;|\n]'), lambda p: {_trimmed('p')} <> '')"
+_NAME, _VALUE = _letters("regexp_extract(p, '(?s)^([^=:]*)', 1)"), "regexp_extract(p, '(?s)^[^=:]*[=:](.*)$', 1)"
+_QUOTED = _WS[:-1] + "\"''`\\x{201c}\\x{201d}\\x{2018}\\x{2019}\\x{ab}\\x{bb}]"
+_REST = f"regexp_replace({_VALUE}, '{_QUOTED}+', '', 'g')"
+_FIELD = f"(CASE WHEN {_NAME} = 'smiles' THEN 'input' ELSE {_NAME} END) || chr(1) || (CASE WHEN {_NAME} IN ('input', 'smiles') OR regexp_full_match({_REST}, '[+-]?[0-9]+(\\.[0-9]+)?([eE][+-]?[0-9]+)?') THEN lower({_REST}) ELSE {_letters(_VALUE)} END)"
+_RECORDS = f"(SELECT rec_id, list_sort(list_transform({_PIECES}, lambda p: {_FIELD})) AS record FROM posted_records WHERE {_trimmed('body')} <> '')"
+_MARKUP = r"</?[A-Za-z][^<>\n]*>|\[/?[A-Za-z*][^\[\]\n]*\]|&#?[0-9A-Za-z]{1,10};"
+
+
+def _runs(table_name: str, id: str, text: str) -> str:
+    """Every eight consecutive words of a text."""
+    words = f"list_transform(regexp_extract_all(regexp_replace({text}, '{_MARKUP}', ' ', 'g'), '[\\p{{L}}\\p{{N}}]+'), lambda w: lower(w))"
+    return f"(SELECT DISTINCT {id}, unnest(list_transform(range(1, len(w) - 6), lambda i: array_to_string(w[i:i + 7], ' '))) AS run FROM (SELECT {id}, {words} AS w FROM {table_name} WHERE {text} IS NOT NULL) WHERE len(w) >= 8)"
+
+
+_LEAKS = f"SELECT DISTINCT doc_id, item_id FROM {_runs('documents', 'doc_id', 'text')} d JOIN {_runs('eval_items', 'item_id', 'passage')} e ON d.run = e.run"
+_INDEXED = f"(SELECT {_trimmed('input')} FROM key_index WHERE {_trimmed('input')} <> '')"
+ORACLES: dict[str, str] = {
+    "p3_found": f"SELECT ord FROM (SELECT ord, key, min(ord) OVER (PARTITION BY key) AS first FROM (SELECT ord, {_trimmed('input')} AS key FROM wanted_keys) WHERE key <> '') WHERE ord > first OR key IN {_INDEXED}",
+    "p4_found": f"SELECT * FROM (SELECT min(rec_id) OVER (PARTITION BY record) AS first_id, rec_id FROM {_RECORDS}) WHERE first_id < rec_id",
+    "p7_found": _LEAKS,
+    "p7_clean": f"SELECT * REPLACE (coalesce(parent_id, -1)::BIGINT AS parent_id, coalesce(n_chars, -1)::BIGINT AS n_chars) FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM ({_LEAKS}))",
+}

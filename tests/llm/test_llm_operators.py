@@ -10,7 +10,7 @@ sys.path.insert(0, str(Path(__file__).parent))
 import brute  # noqa: E402
 
 from keystrata.llm import bpe, history_graph, leaks, same_record, shared_spans  # noqa: E402
-from keystrata.llm.queries import QUERIES, TOKENIZERS  # noqa: E402
+from keystrata.llm.queries import ORACLES, QUERIES, TOKENIZERS  # noqa: E402
 from keystrata.llm.seen_keys import Chain, KeyHistory, SeenKeys  # noqa: E402
 from keystrata.llm.small_world import SmallWorld, planted, scan, signatures  # noqa: E402
 
@@ -30,6 +30,19 @@ def test_runs(spark, small, name):
     assert QUERIES[name](spark, small).count() >= 0
 
 
+@pytest.mark.parametrize("name", sorted(ORACLES))
+def test_matches_sql(spark, small, name):
+    import duckdb
+
+    c = duckdb.connect()
+    for t in ("wanted_keys", "key_index", "posted_records", "documents", "eval_items"):
+        c.execute(f"create view {t} as select * from '{small}/{t}.parquet'")
+    df, res = QUERIES[name](spark, small), c.execute(ORACLES[name])
+    columns = [x[0] for x in res.description]
+    assert sorted(df.columns) == sorted(columns)
+    assert sorted(repr(tuple(r)) for r in df.select(*columns).collect()) == sorted(repr(r) for r in res.fetchall())
+
+
 # -- seen keys ---------------------------------------------------------------------------------
 
 
