@@ -79,7 +79,9 @@ def copies(rows: DataFrame) -> DataFrame:
     several = durable(groups(recs).where(F.col("copies") > 1).select("root", "first_id"))
     members = durable(sized_join(recs, several, "root").select("rec_id").distinct())
     given = rows.select(F.col("rec_id").alias("rec_id"), F.col("body").alias("body"))
-    again = sized_join(records(sized_join(given, members, "rec_id", "left_semi")).withColumn("root", F.unhex("root")), several, "root")
+    # Kept, or the joins' null checks on the digest would be pushed down and computed for all rows again.
+    structures = durable(records(sized_join(given, members, "rec_id", "left_semi")).withColumn("root", F.unhex("root")))
+    again = sized_join(structures, several, "root")
     firsts = again.where(F.col("rec_id") == F.col("first_id")).groupBy("root").agg(F.min("whole").alias("first"))
     hit = again.where(F.col("rec_id") != F.col("first_id")).join(firsts, "root")
     sure = F.when(F.col("whole") == F.col("first"), F.col("first_id")).otherwise(F.raise_error(F.lit("two records of one root digest differ")).cast("long"))
