@@ -25,7 +25,11 @@ def column(spark, d, name, *cols):
     return [tuple(r) for r in spark.read.parquet(f"{d}/{name}.parquet").select(*cols).collect()]
 
 
-@pytest.mark.parametrize("name", sorted(QUERIES))
+#: Queries with a comparison of their own below.
+COMPARED = {"p2_found", "p2_batches", *ORACLES}
+
+
+@pytest.mark.parametrize("name", sorted(set(QUERIES) - COMPARED))
 def test_runs(spark, small, name):
     assert QUERIES[name](spark, small).count() >= 0
 
