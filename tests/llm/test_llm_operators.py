@@ -1,5 +1,9 @@
+import contextlib
+import os
 import random
 import sys
+import threading
+import time
 from pathlib import Path
 
 import numpy as np
@@ -13,6 +17,7 @@ from keystrata.llm import bpe, history_graph, leaks, same_record, shared_spans
 from keystrata.llm.queries import ORACLES, QUERIES, TOKENIZERS  # noqa: E402
 from keystrata.llm.seen_keys import Chain, KeyHistory, SeenKeys  # noqa: E402
 from keystrata.llm.small_world import SmallWorld, planted, scan, signatures  # noqa: E402
+from keystrata.plans.session import release, shared_dir  # noqa: E402
 
 VOCABULARY = f"{TOKENIZERS}/byte_bpe_50k.json"
 
@@ -160,6 +165,58 @@ def test_small_shards_and_parts_lose_nothing(spark, small):
     assert {tuple(r) for r in history_graph.link(df, "seq", batch=None, cap=8, queries=16, fan=3).collect()} == brute.repeats(rows)
 
 
+def peak_bytes(spark, work):
+    """Most bytes of shuffles, checkpoints and files of an index that stood at once while `work` ran, beyond those before."""
+    folders = [*spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirsString(), shared_dir(spark).removeprefix("file:")]
+    on, seen = threading.Event(), []
+
+    def size():
+        total = 0
+        for folder, _, names in (x for f in folders for x in os.walk(f)):
+            for name in names:
+                with contextlib.suppress(OSError):
+                    total += os.path.getsize(f"{folder}/{name}")
+        return total
+
+    def watch():
+        while not on.wait(0.05):
+            seen.append(size())
+
+    release(spark)
+    time.sleep(2)
+    seen.append(size())
+    watcher = threading.Thread(target=watch)
+    watcher.start()
+    try:
+        work()
+    finally:
+        on.set()
+        watcher.join()
+    return max(seen) - seen[0]
+
+
+def test_disk_of_a_delivery_follows_its_keys(spark):
+    rng = random.Random(8)
+    rows = [(i, "".join(rng.choices("CNOSP()=c1", k=40)), i // 1_000) for i in range(8_000)]
+    df = spark.createDataFrame(rows, "seq long, input string, batch_no long").repartition(4)
+    assert peak_bytes(spark, lambda: history_graph.link(df, "seq", batch="batch_no", room=1 << 21).count()) < 7 * 8_000 * (40 + history_graph.KEPT)
+
+
+def test_waves_and_rounds_lose_nothing(spark, small, tmp_path):
+    rows = column(spark, small, "access_entries", "seq", "input")
+    df = spark.read.parquet(f"{small}/access_entries.parquet")
+    index = history_graph.HistoryIndex(spark, str(tmp_path / "w"), cap=128, queries=256, fan=2, room=1)
+    assert {tuple(r) for part in ("seq % 2 >= 0 and seq < 300", "seq >= 300") for r in index.add(df.where(part), "seq").collect()} == brute.repeats(rows)
+    assert index.files.prefixes("work") == [] and index.shards().count() > 1
+
+
+def test_probes_reach_the_cells_of_the_router(spark):
+    sets, keys = (3, 17), ["c1ccccc1NC(=O)CCN(C)C(=O)OC", "short", "y" * 40, "CNO" * 20, "é" * 24]
+    placed = history_graph._placed(spark.createDataFrame([(0, i, 1, k) for i, k in enumerate(keys)], "batch long, id long, n long, key string"), sets)
+    got = {(r.id, r.cell) for r in history_graph._probing(placed, 1 + len(sets)).collect()}
+    assert got == {(i, c) for i, k in enumerate(keys) for _, c in history_graph._cells([k], len(k) >= history_graph.LEAST, sets)}
+
+
 def test_very_long_keys(spark):
     long = [(1, "y" * 300_000), (2, "y" * 299_999), (3, "y" * 299_990), (4, "z" * 300_000)]
     assert {tuple(r) for r in history_graph.link(spark.createDataFrame(long, "seq long, input string"), "seq").collect()} == {(1, 2)}
