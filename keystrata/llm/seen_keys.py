@@ -6,16 +6,17 @@ error rate follows. A chain answers wrongly only if one of its layers does, so t
 rate of wrong answers stays below the sum of the layers' rates, at most `error`, however long
 the history grows (`Chain.bound`).
 
-Every answer is a chain's. Rows are first grouped into runs by (key, block of `ord`), which splits
-a key that holds a third of all rows over all blocks. The first row of each run is asked of its
-shard's chain in order of `ord`, and kept if new. The rest of a run is asked afterwards, of the
-same chains, by as many tasks as its size needs: a chain never forgets, so they answer as they
-would have in turn.
-
-Memory: a chain keeps about 1.44 log2(1/rate) bits a key and no key. The number of shards follows
-the rows (`per_shard`), so a task holds one shard's chain and its run heads. `KeyHistory` keeps
-the chains in a folder of the shared file system, for deliveries of several jobs; its number of
-shards is set when it is made.
+Every answer is a chain's, given in order of `ord` and read from its bits alone: a row is new if
+it is the first to set one of them, else it was seen. Rows go by blocks of `ord` to slices, each
+with a chain of its own, which is asked every row. What a slice has seen is settled; the others,
+one row or so of a key in a slice, are asked of their shard's chain. So a key that holds a third
+of all rows is spread over all slices and reaches its shard about once from each. Either kind of
+chain has half of `error`.
+
+Memory: a chain keeps about 1.44 log2(1/rate) bits a key and no key. The number of shards and of
+slices follows the rows (`per_shard`); a slice is a stream, a task of a shard holds its chain and
+the rows it is asked. `KeyHistory` keeps the shards' chains in a folder of the shared file system,
+for deliveries of several jobs; its number of shards is set when it is made.
 
 Defined cases: null and blank keys are never seen and never kept, rows without `ord` take no
 part; repeated rows are one row; an empty table gives no rows; extra columns are ignored. A
@@ -26,10 +27,12 @@ from __future__ import annotations
 
 import math
 import pickle
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -38,6 +41,8 @@ from keystrata.plans.session import durable
 from keystrata.sources.layout import Files
 
 _MIX = np.uint64(0x9E3779B97F4A7C15)
+#: Bits of a key's turn among those put at once.
+_TURN = np.uint64(20)
 
 
 def _second(h: np.ndarray) -> np.ndarray:
@@ -70,12 +75,20 @@ class Layer:
         seen[left] = True
         return seen
 
-    def add(self, h: np.ndarray) -> None:
-        at = np.unique(self._at(h))
+    def put(self, h: np.ndarray) -> np.ndarray:
+        """Keeps the keys one after another; marks those new at their turn, that is the first to set one of their bits."""
+        turns = np.sort(((self._at(h) << _TURN) | np.arange(len(h), dtype=np.uint64)[:, None]).ravel())
+        at = turns >> _TURN
+        first = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]]))
+        at, row = at[first], (turns[first] & ((np.uint64(1) << _TURN) - np.uint64(1))).astype(np.int64)
         byte, bit = (at >> np.uint64(3)).astype(np.int64), np.uint8(1) << (at & np.uint64(7)).astype(np.uint8)
-        self.ones += int((((self.bits[byte] & bit) == 0)).sum())
-        np.bitwise_or.at(self.bits, byte, bit)
-        self.kept += len(h)
+        unset = (self.bits[byte] & bit) == 0
+        np.bitwise_or.at(self.bits, byte[unset], bit[unset])
+        new = np.zeros(len(h), bool)
+        new[row[unset]] = True
+        self.ones += int(unset.sum())
+        self.kept += int(new.sum())
+        return new
 
     @property
     def full(self) -> bool:
@@ -83,7 +96,8 @@ class Layer:
 
     @property
     def room(self) -> int:
-        return max(1, self.capacity - self.kept)
+        """Keys that can be put before the layer may be full."""
+        return max(1, min(self.capacity - self.kept, (int(self.size) // 2 - self.ones) // self.hashes))
 
 
 @dataclass
@@ -129,18 +143,18 @@ class Chain:
                 seen[left] = layer.has(h[left])
         return seen
 
-    def ask(self, h: np.ndarray) -> np.ndarray:
-        """For each key of `h`, in order: seen before? The unseen ones are kept."""
-        kinds, firsts = np.unique(h, return_index=True)
-        old = self.has(kinds)
-        seen = np.ones(len(h), bool)
-        seen[firsts] = old
-        new = kinds[~old]
-        while len(new):
+    def ask(self, h: np.ndarray, step: int = 1 << 16) -> np.ndarray:
+        """For each key of `h`, in order: seen before? The unseen ones are kept. Up to `step` keys are worked on at once; the answers are those of asking one by one."""
+        seen, at, step = np.ones(len(h), bool), 0, min(step, 1 << int(_TURN))
+        while at < len(h):
             layer = self._open()
-            take = layer.room
-            layer.add(new[:take])
-            new = new[take:]
+            part = h[at : at + min(step, max(1024, 4 * layer.room))]
+            left = np.flatnonzero(~self.has(part))
+            if len(left) > layer.room:  # the rest is asked when the layer's state is known
+                part, left = part[: left[layer.room]], left[: layer.room]
+            if len(left):
+                seen[at + left] = ~layer.put(part[left])
+            at += len(part)
         return seen
 
 
@@ -154,7 +168,11 @@ _CHAINS = "shard int, chain binary, bound double"
 
 
 class SeenKeys:
-    """Decides for the rows of a keyed stream whether their key came before."""
+    """Decides for the rows of a keyed stream whether their key came before.
+
+    per_shard: rows of a shard and of a slice; block: ordinals that go to one slice together; first:
+    capacity of a chain's first layer; rest: rows that a chain is asked at once.
+    """
 
     def __init__(self, error: float = 1e-9, per_shard: int = 1 << 16, block: int = 1 << 16, first: int = 4096, rest: int = 1 << 16):
         self.error, self.per_shard, self.block, self.first, self.rest = error, per_shard, block, first, rest
@@ -162,44 +180,44 @@ class SeenKeys:
     def asked(self, rows: DataFrame, history: DataFrame | None = None, key: str = "input", ord: str = "ord", chains: DataFrame | None = None, shards: int | None = None) -> tuple[DataFrame, DataFrame]:
         """The answers (ord) and the chains after them (shard, chain, bound), going on from `chains`.
 
-        Three shuffles of hashes, ordinals and chains only: runs by (key, block), their heads by
-        shard, and what follows the heads by shard and part.
+        Two shuffles of hashes and ordinals: all rows by block of `ord`, and those that their slice hasn't seen by shard.
         """
-        error, first = self.error, self.first
+        error, first, step = self.error / 2, self.first, self.rest
         shards = shards or max(1, -(-(rows.count() + (0 if history is None else history.count())) // self.per_shard))
-        runs = _keyed(rows, key, ord).groupBy("h", F.floor(F.col("ord") / self.block).alias("block")).agg(F.sort_array(F.collect_set("ord")).alias("ords"))
+
+        def slice_(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            own, last = Chain(error, first), None
+            for batch in batches:
+                ords, h = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+                if not len(h):
+                    continue
+                other = np.concatenate([[last != (ords[0], h[0])], (ords[1:] != ords[:-1]) | (h[1:] != h[:-1])])  # repeated rows are one row
+                ords, h, last = ords[other], h[other], (ords[-1], h[-1])
+                yield pa.RecordBatch.from_arrays([pa.array(ords), pa.array(h), pa.array(own.ask(h.view(np.uint64), step)), pa.nulls(len(h), pa.float64())], names=["ord", "h", "seen", "bound"])
+            yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.nulls(1, pa.bool_()), pa.array([own.bound], pa.float64())], names=["ord", "h", "seen", "bound"])
+
+        slices = _keyed(rows, key, ord).select("ord", "h").repartition(shards, F.floor(F.col("ord") / self.block)).sortWithinPartitions("ord", "h")
+        sliced = durable(slices.mapInArrow(slice_, "ord long, h long, seen boolean, bound double"))
+        bound = sliced.agg(F.max("bound")).first()[0] or 0.0
         shard = F.pmod(F.hash("h"), F.lit(shards)).cast("int").alias("shard")
-        runs = durable(runs.select(shard, "h", F.get("ords", F.lit(0)).alias("ord"), F.slice("ords", F.lit(2), F.greatest(F.size("ords") - 1, F.lit(0))).alias("later")))
-        heads = runs.select("shard", "h", "ord")
+        heads = sliced.where(~F.col("seen")).select(shard, "h", "ord", F.lit(False).alias("past"))
         if history is not None:
             past = history.select(blank_to_null(F.col(key)).alias("k")).where(F.col("k").isNotNull()).select(F.xxhash64("k").alias("h")).distinct()
-            heads = heads.unionByName(past.select(shard, "h", F.lit(None).cast("long").alias("ord")))
+            heads = heads.unionByName(past.select(shard, "h", F.lit(0).cast("long").alias("ord"), F.lit(True).alias("past")))
         if chains is None:
             chains = rows.sparkSession.createDataFrame([], _CHAINS)
 
         def ask(heads: pd.DataFrame, chain: pd.DataFrame) -> pd.DataFrame:
             own = Chain(error, first) if chain.empty else Chain.opened(chain["chain"].iloc[0])
-            heads = heads.sort_values("ord", na_position="first", kind="stable")
-            seen = own.ask(heads["h"].to_numpy(np.int64).view(np.uint64)) & heads["ord"].notna().to_numpy()
+            heads = heads.sort_values(["past", "ord"], ascending=[False, True], kind="stable")
+            seen = own.ask(heads["h"].to_numpy(np.int64).view(np.uint64), step) & ~heads["past"].to_numpy(bool)
             out = pd.DataFrame({"ord": heads["ord"][seen].astype("Int64"), "chain": None, "bound": np.nan})
-            kept = pd.DataFrame({"ord": pd.array([None], "Int64"), "chain": [own.packed()], "bound": [own.bound]})
+            kept = pd.DataFrame({"ord": pd.array([None], "Int64"), "chain": [own.packed()], "bound": [own.bound + bound]})
             return pd.concat([out, kept]).assign(shard=(heads if chain.empty else chain)["shard"].iloc[0])[["shard", "ord", "chain", "bound"]]
 
         told = durable(heads.repartition(shards, "shard").groupBy("shard").cogroup(chains.select("shard", "chain").repartition(shards, "shard").groupBy("shard")).applyInPandas(ask, "shard int, ord long, chain binary, bound double"))
         after = told.where(F.col("chain").isNotNull()).select("shard", "chain", "bound")
-
-        def again(later: pd.DataFrame, chain: pd.DataFrame) -> pd.DataFrame:
-            if later.empty or chain.empty:
-                return pd.DataFrame({"later": pd.Series([], dtype=object)})
-            return later[Chain.opened(chain["chain"].iloc[0]).has(later["h"].to_numpy(np.int64).view(np.uint64))][["later"]]
-
-        later = runs.where(F.size("later") > 0).select("shard", "h", "later")
-        sizes = durable(later.groupBy("shard").agg(F.ceil(F.sum(F.size("later")) / self.rest).alias("parts")))
-        total = sizes.agg(F.sum("parts")).first()[0] or 1
-        split = later.join(F.broadcast(sizes), "shard").select("shard", F.pmod(F.xxhash64("h", F.get("later", F.lit(0))), "parts").alias("part"), "h", "later")
-        copies = after.join(F.broadcast(sizes), "shard").select("shard", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"), "chain")
-        rest = split.repartition(total, "shard", "part").groupBy("shard", "part").cogroup(copies.repartition(total, "shard", "part").groupBy("shard", "part")).applyInPandas(again, "later array<long>")
-        return told.where(F.col("ord").isNotNull()).select("ord").unionByName(rest.select(F.explode("later").alias("ord"))), after
+        return sliced.where("seen").select("ord").unionByName(told.where(F.col("ord").isNotNull()).select("ord")), after
 
     def seen(self, rows: DataFrame, history: DataFrame | None = None, key: str = "input", ord: str = "ord") -> DataFrame:
         """(ord): the rows of `rows` whose trimmed key is in `history` or in a row of lower `ord`."""
