@@ -1,4 +1,6 @@
+import random
 import re
+import time
 
 import numpy as np
 
@@ -81,3 +83,22 @@ def test_small_score_blocks_give_the_same(spark, monkeypatch):
     x, df = vectors(spark, n=200)
     monkeypatch.setattr(nearest, "SCORES", 64)
     assert {r.query_id: r.id for r in exact_top1(df, df.where("id < 40")).collect()} == brute(x, list(range(40)))
+
+
+def test_key_neighbours_of_many_keys(spark):
+    """Pairs are scored in matrices: 60 M pairs with most n-grams in common take seconds."""
+    rng = random.Random(4)
+    stored, asked = (["".join(rng.choices("CNO(", k=rng.randint(30, 50))) for _ in range(n)] for n in (20_000, 3_000))
+    asked += ["é" + asked[0], "CCCC", stored[0], "x"]
+    stored += ["CCCCCC", "CCCCC", "\U0001f600x"]
+    d = lambda ks: spark.createDataFrame([(k,) for k in ks], "input string").repartition(4)
+    d(asked[:3]).count()
+    began = time.time()
+    got = {r.input: (r.neighbour, r.similarity) for r in nearest_keys(d(stored), d(asked)).collect()}
+    assert time.time() - began < 15 and set(got) == set(asked)
+    jac = lambda a, b: len(a & b) / len(a | b)
+    sets = {k: grams(k) for k in stored}
+    for a in asked[:3] + asked[-4:]:
+        least = min((-jac(grams(a), s), k) for k, s in sets.items())
+        assert got[a] == (least[1], -least[0])
+    assert got["CCCC"] == ("CCCCC", 1.0)  # the same n-grams
